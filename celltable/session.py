@@ -12,7 +12,7 @@ def local_session(name: str, cores: str | int | None = None) -> SparkSession:
     cores = cores or os.environ.get("BENCH_CPUS", "8")
     scratch = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark = (SparkSession.builder.master(f"local[{cores}]").appName(name)
-             .config("spark.driver.memory", "12g").config("spark.ui.enabled", "false")
+             .config("spark.driver.memory", "12g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .config("spark.sql.shuffle.partitions", str(cores))
              .config("spark.sql.adaptive.enabled", "true")
              .config("spark.sql.session.timeZone", "UTC")
