@@ -116,6 +116,14 @@ from (select *, unnest([
 DEPENDS = {"logits": ["cohort"]}
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer tasks than the session has cores.
+
+    A large table already splits into many tasks and passes through untouched."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def _text(name: str, side: int) -> str:
     v = VIEWS[name]
     return v if isinstance(v, str) else v[side]
@@ -142,7 +150,7 @@ class Views:
         text = _text(name, 0)
         for dep in DEPENDS.get(name, []):
             text = f"with {dep} as ({_text(dep, 0)}) {text}"
-        return self.sql(text)
+        return spread(self.sql(text))
 
 
 def with_views(names: str, body: str, extra: dict[str, str] | None = None) -> str:
