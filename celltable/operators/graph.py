@@ -5,10 +5,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
 
 from celltable.functions.columns import POSITIVE_MARKERS, coarse_type
-from celltable.operators.skew import prefix_agg, row_index, stable
+from celltable.operators.skew import has_hot_group, prefix_agg, row_index, stable
 
 PATCH = ["slide_id", "patch_id"]
 
@@ -91,17 +93,49 @@ def clustering(nodes: DataFrame, edges: DataFrame, keys: list[str] = PATCH, node
         *keys, (F.coalesce("_s", F.lit(0.0)) / F.col("_n")).alias("clustering_avg"))
 
 
+def _label_group(keys: list[str]):
+    """Smallest reachable id of each node of one small graph."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, ends = np.unique(np.concatenate([pdf["u"], pdf["v"]]), return_inverse=True)
+        a, b = ends[:len(pdf)], ends[len(pdf):]
+        lab = np.arange(len(ids))
+        while True:
+            new = lab.copy()
+            np.minimum.at(new, a, lab[b])
+            np.minimum.at(new, b, lab[a])
+            new = new[new]
+            if np.array_equal(new, lab):
+                break
+            lab = new
+        out = pd.DataFrame({"node": ids, "component": ids[lab]})
+        for k in reversed(keys):
+            out.insert(0, k, pdf[k].iloc[0])
+        return out
+    return run
+
+
 # ---- components ---------------------------------------------------------------------
 
 def components(nodes: DataFrame, edges: DataFrame, keys: list[str] = PATCH, node: str = "cell_id",
-               max_rounds: int = 100) -> DataFrame:
+               max_rounds: int = 100, small: int = 200_000) -> DataFrame:
     """Component of every node, named by its smallest node id.
 
-    Alternating large-star and small-star rounds; neighbourhood minima are
+    When every graph has at most ``small`` edges (measured), each is labelled inside
+    one task.  Otherwise the edges stay spread out: alternating large-star and small-star rounds; neighbourhood minima are
     aggregates joined back, so a hub is combined map-side.  Lineage is cut by a
     checkpoint each round."""
     e = stable(edges.select(*keys, F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
                .filter(F.col("u") != F.col("v")).distinct())
+    ids = nodes.select(*keys, F.col(node).alias("node"))
+
+    def named(labels: DataFrame) -> DataFrame:
+        return (ids.join(labels, [*keys, "node"], "left")
+                .withColumn("component", F.coalesce("component", "node")))
+
+    if not has_hot_group(e, keys, small):
+        types = dict(e.dtypes)
+        schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + [f"node {types['u']}", f"component {types['u']}"])
+        return named(e.groupBy(*keys).applyInPandas(_label_group(keys), schema))
     mark = None
     for _ in range(max_rounds):
         sym = e.unionByName(e.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
@@ -119,9 +153,7 @@ def components(nodes: DataFrame, edges: DataFrame, keys: list[str] = PATCH, node
         mark = tuple(now)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    ids = nodes.select(*keys, F.col(node).alias("node"))
-    return (ids.join(e.select(*keys, F.col("u").alias("node"), F.col("v").alias("component")), [*keys, "node"], "left")
-            .withColumn("component", F.coalesce("component", "node")))
+    return named(e.select(*keys, F.col("u").alias("node"), F.col("v").alias("component")))
 
 
 def component_sizes(comp: DataFrame, keys: list[str] = PATCH) -> DataFrame:
