@@ -34,7 +34,7 @@ def bag_sample(bags: DataFrame, n: int, seed: int, keys: list[str] = ["slide_id"
     size = bags.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     d = d.join(size, keys)
     big = d.filter((F.col("_n") >= n) & (F.col("_i") < n)).withColumn("draw", F.col("_i"))
-    draws = (size.filter(F.col("_n") < n).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("bigint"))
+    draws = (size.filter(F.col("_n") < n).withColumn("draw", F.explode(F.expr(f"sequence(0L, {n - 1}L)")))
              .withColumn("_i", F.pmod(F.xxhash64(*keys, "draw", F.lit(seed)), F.col("_n"))).drop("_n"))
     small = d.filter(F.col("_n") < n).join(draws, [*keys, "_i"])
     return big.unionByName(small).drop("_h", "_i", "_n")
