@@ -60,11 +60,14 @@ ENT = "-(" + "+".join(
 FRACS = [f"type_frac__{t}" for t in CELL_TYPES]
 
 
-@query("patch_composition", "AGG-01 AGG-08 AGG-09 AGG-10 PRJ-01 PRJ-04 PRJ-18 PRJ-19 AGG-16 AGG-17", sql_r6(typed_sql(
+COMPOSITION_SQL = sql_r6(typed_sql(
     f"""select slide_id, patch_id, n_cells, {', '.join(f'"type_count__{t}"' for t in CELL_TYPES)}, {FRAC},
         {ENT} as type_entropy, n_cells/(a+1e-6) as cell_density_proxy
         from (select slide_id, patch_id, count(*) as n_cells, sum(nucleus_area) as a, {COMP} from typed group by all)"""),
-    [*FRACS, "type_entropy", "cell_density_proxy"]))
+    [*FRACS, "type_entropy", "cell_density_proxy"])
+
+
+@query("patch_composition", "AGG-01 AGG-08 AGG-09 AGG-10 PRJ-01 PRJ-04 PRJ-18 PRJ-19 AGG-16 AGG-17", COMPOSITION_SQL)
 def patch_composition(v):
     return r6(P.composition_report(typed(v)))
 

@@ -98,13 +98,12 @@ select p_partkey, concat('/pool/', p_brand, case when p_size%2=0 then '_real_' e
     # an L-shaped and a square outline per supplier; ring 1 of the square is a hole
     "rings": ("""
 select cast(s_suppkey as string) as slide_id, tissue_id, ring, ring > 0 as is_hole,
-  transform(pts, p -> struct(cast(p.x + s_nationkey*4 as double) as x, cast(p.y + s_nationkey*3 as double) as y)) as pts
-from {supplier} lateral view explode(array(
-  struct(1 as tissue_id, 0 as ring, array(struct(11 as x, 7 as y), struct(311, 7), struct(311, 157), struct(161, 157), struct(161, 307), struct(11, 307)) as pts),
-  struct(2, 0, array(struct(333, 333), struct(633, 333), struct(633, 633), struct(333, 633))),
-  struct(2, 1, array(struct(401, 401), struct(501, 401), struct(501, 501), struct(401, 501))),
-  struct(2, 2, array(struct(551, 551), struct(571, 551), struct(571, 571), struct(551, 571))))) e as e
-  lateral view inline(array(e)) i as tissue_id, ring, pts""", """
+  transform(raw, p -> named_struct('x', cast(p[0] + s_nationkey*4 as double), 'y', cast(p[1] + s_nationkey*3 as double))) as pts
+from {supplier} lateral view inline(array(
+  struct(1, 0, array(array(11, 7), array(311, 7), array(311, 157), array(161, 157), array(161, 307), array(11, 307))),
+  struct(2, 0, array(array(333, 333), array(633, 333), array(633, 633), array(333, 633))),
+  struct(2, 1, array(array(401, 401), array(501, 401), array(501, 501), array(401, 501))),
+  struct(2, 2, array(array(551, 551), array(571, 551), array(571, 571), array(551, 571))))) i as tissue_id, ring, raw""", """
 select cast(s_suppkey as varchar) as slide_id, e.tissue_id as tissue_id, e.ring as ring, e.ring > 0 as is_hole,
   list_transform(e.pts, lambda p: struct_pack(x := cast(p.x + s_nationkey*4 as double), y := cast(p.y + s_nationkey*3 as double))) as pts
 from (select *, unnest([
