@@ -469,14 +469,14 @@ def tissue_rings(v):
         "slide_id", "tissue_id", "ring", F.col("i").cast("bigint").alias("i"), "p.x", "p.y")
 
 
-SEG = {"sg": """select slide_id, tissue_id, pts[i].x as ax, pts[i].y as ay, pts[i%len(pts)+1].x as bx, pts[i%len(pts)+1].y as by
+SEG = {"sg": """select slide_id, tissue_id, pts[i].x as ax, pts[i].y as ay, pts[i%len(pts)+1].x as cx, pts[i%len(pts)+1].y as cy
    from (select *, unnest(range(1, len(pts)+1)) as i from rings)"""}
 
 
 def _inside(points: str, cols: str) -> str:
     return f"""select distinct {cols} from (select {', '.join('p.' + c.strip() for c in cols.split(','))}, sg.tissue_id,
-      count(*) filter (where (ay>p.y)<>(by>p.y) and p.x < (bx-ax)*(p.y-ay)/(by-ay)+ax) as h,
-      bool_or((bx-ax)*(p.y-ay)-(by-ay)*(p.x-ax)=0 and p.x between least(ax,bx) and greatest(ax,bx) and p.y between least(ay,by) and greatest(ay,by)) as onb
+      count(*) filter (where (ay>p.y)<>(cy>p.y) and p.x < (cx-ax)*(p.y-ay)/(cy-ay)+ax) as h,
+      bool_or((cx-ax)*(p.y-ay)-(cy-ay)*(p.x-ax)=0 and p.x between least(ax,cx) and greatest(ax,cx) and p.y between least(ay,cy) and greatest(ay,cy)) as onb
       from ({points}) p join sg on sg.slide_id=p.slide_id group by all) where h%2=1 and not onb"""
 
 
@@ -486,7 +486,7 @@ def cells_in_tissue(v):
 
 
 @query("patches_in_tissue", "JOI-06 JOI-07", with_views("slides rings", "select distinct slide_id, ty as y, tx as x from (" + _inside(
-    "select slide_id, ty, tx, ty+a as y, tx+b as x from tl, (values (0),(128)) o(a), (values (0),(128)) q(b)", "slide_id, ty, tx") + ")",
+    "select slide_id, ty, tx, ty+a as y, tx+b as x from tl, (values (0),(128)) o(a), (values (0),(128)) q(b)", "slide_id, ty, tx, x, y") + ")",
     {**SEG, "tl": f"select slide_id, ty, {_seq('0', 'w-128+1', 128)} as tx from (select *, {_seq('0', 'h-128+1', 128)} as ty from slides)"}))
 def patches_in_tissue(v):
     return T.patches_in_tissue(T.grid(v.slides, 128, 128), v.rings, 128).select("slide_id", "y", "x")

@@ -88,9 +88,9 @@ def common_names(v):
     return R.common(v.customer.select(F.col("c_nationkey").alias("nation")), v.supplier.select(F.col("s_nationkey").alias("nation")), ["nation"])
 
 
-@query("names_without_match", "SET-02", "select p_partkey from part where p_partkey not in (select l_partkey from lineitem where l_returnflag='R')")
+@query("names_without_match", "SET-02", "select p_partkey from part where p_partkey not in (select l_partkey from lineitem where l_quantity=50 and l_returnflag='R')")
 def names_without_match(v):
-    done = v.lineitem.filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
+    done = v.lineitem.filter("l_quantity = 50 and l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
     return R.minus(v.part.select("p_partkey"), done, ["p_partkey"])
 
 
@@ -109,9 +109,9 @@ def matched_images(v):
     return R.match_images(a, b, "name", strict=True).drop("name")
 
 
-@query("unseen_items", "JOI-16", "select p_partkey from part where p_partkey not in (select l_partkey from lineitem where l_returnflag='R') and p_partkey not in (select l_partkey from lineitem where l_returnflag='A')")
+@query("unseen_items", "JOI-16", "select p_partkey from part where p_partkey not in (select l_partkey from lineitem where l_quantity=50 and l_returnflag='R') and p_partkey not in (select l_partkey from lineitem where l_quantity=50 and l_returnflag='A')")
 def unseen_items(v):
-    li = v.lineitem.select(F.col("l_partkey").alias("p_partkey"), "l_returnflag")
+    li = v.lineitem.select(F.col("l_partkey").alias("p_partkey"), "l_returnflag", "l_quantity").filter("l_quantity = 50")
     return R.remaining(v.part.select("p_partkey"), li.filter("l_returnflag='R'"), li.filter("l_returnflag='A'"), key="p_partkey")
 
 
@@ -202,9 +202,9 @@ def split_table(v):
     return IN.read_split(v.spark, path)
 
 
-@query("pending_slides", "SRC-10", "select p_partkey from part where p_partkey not in (select l_partkey from lineitem)")
+@query("pending_slides", "SRC-10", "select p_partkey from part where p_partkey not in (select l_partkey from lineitem where l_quantity=50)")
 def pending_slides(v):
-    return IN.pending(v.part.select("p_partkey"), v.lineitem.select(F.col("l_partkey").alias("p_partkey")), "p_partkey")
+    return IN.pending(v.part.select("p_partkey"), v.lineitem.filter("l_quantity = 50").select(F.col("l_partkey").alias("p_partkey")), "p_partkey")
 
 
 @query("load_errors", "SRC-11 CHK-01", with_views("cohort", """
