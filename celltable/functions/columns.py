@@ -42,8 +42,10 @@ def coerce_number(c: Column | str) -> Column:
 
 
 def patch_id(cell_id: Column | str) -> Column:
+    """The id without its last ``_`` part; an id without ``_`` is its own patch."""
     c = col(cell_id).cast("string")
-    return F.when(c.contains("_"), F.regexp_replace(c, r"_[^_]*$", "")).otherwise(c)
+    keep = F.length(c) - F.length(F.substring_index(c, "_", -1)) - 1
+    return F.when(keep >= 0, F.substring(c, F.lit(1), keep)).otherwise(c)
 
 
 def patch_part(pid: Column | str, which: int, pattern: str = r"^(\d+)_(\d+)$",

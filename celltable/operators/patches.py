@@ -135,17 +135,24 @@ def patch_features(typed: DataFrame, markers: list[str] = MARKERS, split: bool |
     var = [f"{m}_var" for m in markers if f"{m}_var" in d.columns]
     if split is None:
         split = has_hot_group(d, PATCH)
-    raw = d.select(*PATCH, "nucleus_area", *markers, *var)
-    qs = quantile_features(raw, PATCH, ["nucleus_area", *markers], split)
-    base = d.groupBy(*PATCH).agg(
+    cols = ["nucleus_area", *markers]
+    raw = d.select(*PATCH, *cols, *var)
+    base = d if split else d.repartition(*PATCH)
+    # without a hot patch the quantiles ride in the same aggregate as everything else
+    inline = [] if split else [F.percentile(c, PROBS).alias(f"{c}_q") for c in [*cols, *var]]
+    base = base.groupBy(*PATCH).agg(
         F.count(F.lit(1)).alias("n_cells"), *area_aggs(),
         *[F.count_if(F.col("cell_type_retyped") == t).alias(f"type_count__{t}") for t in CELL_TYPES],
         *marker_moments(markers), *positivity_rates(markers), *coexpression(),
-        *[e for v in var for e in (F.avg(v).alias(f"{v}__mean"), F.stddev_samp(v).alias(f"{v}__sd"))])
-    f = base.join(qs, PATCH)
-    if var:
-        vq = quantiles(raw, PATCH, var, [0.5], split=split)
-        f = f.join(vq.select(*PATCH, *[F.col(f"{v}_q")[0].alias(f"{v}__median") for v in var]), PATCH)
+        *[e for v in var for e in (F.avg(v).alias(f"{v}__mean"), F.stddev_samp(v).alias(f"{v}__sd"))], *inline)
+    q = quantiles(raw, PATCH, [*cols, *var], PROBS, split=True) if split else quantiles(raw, PATCH, cols, [0.5], split=False)
+    med = q.select(*PATCH, *[F.element_at(f"{c}_q", 3 if split else 1).alias(f"{c}_med") for c in cols])
+    f = base.join(q, PATCH) if split else base
+    f = f.join(group_mad(raw.select(*PATCH, *cols), PATCH, cols, med, split=split), PATCH)
+    names = ["p10", "p25", "med", "p75", "p90"]
+    f = f.withColumns({f"{c}_{n}": F.col(f"{c}_q")[i] for c in cols for i, n in enumerate(names)})
+    f = f.withColumns({**{f"{c}_iqr": F.col(f"{c}_p75") - F.col(f"{c}_p25") for c in cols},
+                       **{f"{v}__median": F.col(f"{v}_q")[2] for v in var}})
     f = f.withColumns({
         "cell_density_proxy": F.col("n_cells") / (F.col("nucleus_area_sum") + EPS),
         **{f"type_frac__{t}": F.col(f"type_count__{t}") / F.col("n_cells") for t in CELL_TYPES},

@@ -96,8 +96,10 @@ def quantiles(df: DataFrame, keys: list[str], cols: list[str], probs: list[float
     if split is None:
         split = has_hot_group(df, keys)
     if not split:
+        # every group fits one task, so plain rows are shuffled once and both aggregation
+        # steps run behind that shuffle; partial value maps would be larger than the rows
         arr = [float(p) for p in probs]
-        return df.groupBy(*keys).agg(*[F.percentile(F.col(c), arr).alias(f"{c}_q") for c in cols])
+        return df.select(*keys, *cols).repartition(*keys).groupBy(*keys).agg(*[F.percentile(F.col(c), arr).alias(f"{c}_q") for c in cols])
     long = df.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(c).alias("_var"), F.col(c).cast("double").alias("_val")) for c in cols])).alias("_kv"))
     counts = (long.select(*keys, "_kv._var", "_kv._val").filter(F.col("_val").isNotNull())
@@ -122,7 +124,8 @@ def quantiles(df: DataFrame, keys: list[str], cols: list[str], probs: list[float
 def group_mad(df: DataFrame, keys: list[str], cols: list[str], medians: DataFrame,
               split: bool | None = None) -> DataFrame:
     """Median absolute deviation ``<c>_mad`` given a table of ``<c>_med``."""
-    dev = df.select(*keys, *cols).join(medians.select(*keys, *[f"{c}_med" for c in cols]), keys)
+    rows = df.select(*keys, *cols)
+    dev = (rows if split else rows.repartition(*keys)).join(medians.select(*keys, *[f"{c}_med" for c in cols]), keys)
     dev = dev.select(*keys, *[F.abs(F.col(c) - F.col(f"{c}_med")).alias(c) for c in cols])
     q = quantiles(dev, keys, cols, [0.5], split=split)
     return q.select(*keys, *[F.col(f"{c}_q")[0].alias(f"{c}_mad") for c in cols])

@@ -28,22 +28,24 @@ def pairs_within(nodes: DataFrame, keys: list[str], node: str, radius: float, cl
     """Unordered pairs (src < dst) of one group at most ``radius`` apart, with ``dist``.
 
     ``carry`` columns arrive as ``<c>_src`` and ``<c>_dst``."""
-    base = _bucketed(nodes.select(*keys, node, "x", "y", *carry), radius)
-    left = base.select(*keys, "_bx", "_by", F.struct(F.col(node).alias("id"), "x", "y", *carry).alias("p"))
+    base = _bucketed(nodes.select(*keys, F.col(node).alias("_a"), "x", "y", *carry), radius)
     right = (base.withColumn("_o", _offsets(HALF))
              .select(*keys, (F.col("_bx") - F.col("_o.i")).alias("_bx"), (F.col("_by") - F.col("_o.j")).alias("_by"),
-                     ((F.col("_o.i") == 0) & (F.col("_o.j") == 0)).alias("_same"),
-                     F.struct(F.col(node).alias("id"), "x", "y", *carry).alias("q")))
-    d2 = F.pow(F.col("p.x") - F.col("q.x"), 2) + F.pow(F.col("p.y") - F.col("q.y"), 2)
+                     ((F.col("_o.i") == 0) & (F.col("_o.j") == 0)).alias("_same"), F.col("_a").alias("_b"),
+                     F.col("x").alias("_x"), F.col("y").alias("_y"), *[F.col(c).alias(f"_{c}") for c in carry]))
+    dx, dy = F.col("x") - F.col("_x"), F.col("y") - F.col("_y")
+    d2 = dx * dx + dy * dy
     near = d2 <= float(radius) ** 2 if closed else d2 < float(radius) ** 2
-    j = left.join(right, [*keys, "_bx", "_by"]).filter(
-        near & (~F.col("_same") | (F.col("p.id") < F.col("q.id"))) & (F.col("p.id") != F.col("q.id")))
-    first = F.col("p.id") < F.col("q.id")
-    lo, hi = F.when(first, F.col("p")).otherwise(F.col("q")), F.when(first, F.col("q")).otherwise(F.col("p"))
-    j = j.select(*keys, lo.alias("lo"), hi.alias("hi"), F.sqrt(d2).alias("dist"))
-    return j.select(*keys, F.col("lo.id").alias("src"), F.col("hi.id").alias("dst"), "dist",
-                    *[F.col(f"lo.{c}").alias(f"{c}_src") for c in carry],
-                    *[F.col(f"hi.{c}").alias(f"{c}_dst") for c in carry])
+    a, b = F.col("_a"), F.col("_b")
+    # the replicated side is several times its estimated size, so it is never broadcast
+    j = base.join(right.hint("merge"), [*keys, "_bx", "_by"]).filter(near & (a != b) & (~F.col("_same") | (a < b)))
+    first = a < b
+
+    def pick(c: str, want_first: bool) -> Column:
+        return F.when(first == want_first, F.col(c)).otherwise(F.col(f"_{c}"))
+
+    return j.select(*keys, F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"), F.sqrt(d2).alias("dist"),
+                    *[pick(c, True).alias(f"{c}_src") for c in carry], *[pick(c, False).alias(f"{c}_dst") for c in carry])
 
 
 def edge_weight(dist: Column, weighted: bool = True, clip: float = 1e-3) -> Column:
@@ -71,14 +73,14 @@ def knn_edges(cells: DataFrame, keys: list[str] = ["slide_id", "patch_id"], k: i
         right = _bucketed(pts, radius).withColumn("_o", _offsets(FULL)).select(
             *keys, (F.col("_bx") + F.col("_o.i")).alias("_bx"), (F.col("_by") + F.col("_o.j")).alias("_by"),
             F.col("_id").alias("nb"), F.col("x").alias("_nx"), F.col("y").alias("_ny"))
-        d2 = F.pow(F.col("x") - F.col("_nx"), 2) + F.pow(F.col("y") - F.col("_ny"), 2)
+        dx, dy = F.col("x") - F.col("_nx"), F.col("y") - F.col("_ny")
+        d2 = dx * dx + dy * dy
         near = (_bucketed(todo, radius).join(right, [*keys, "_bx", "_by"])
                 .filter((F.col("_id") != F.col("nb")) & (d2 <= radius ** 2))
                 .select(*keys, "_id", "x", "y", "_span", "nb", F.sqrt(d2).alias("dist")))
         w = Window.partitionBy(*keys, "_id").orderBy("dist", "nb")
         # row_number <= k is pre-limited before the shuffle by the window group limit
         top = near.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
-        full = top.filter(F.col("_rn") == k).select(*keys, "_id")
         settled_all = F.col("_span") <= radius
         top = stable(top)
         full = top.filter(F.col("_rn") == k).select(*keys, "_id")

@@ -81,7 +81,7 @@ def degree_stats(v):
       join deg using (slide_id, patch_id, node) group by all) using (slide_id, patch_id)""", DEG), ["clustering_avg"]))
 def clustering(v):
     n = nodes(v)
-    return r6(G.clustering(n, S.radius_edges(n)))
+    return r6(G.clustering(n, stable(S.radius_edges(n))))
 
 
 REACH = {**SYM, "reach": """select slide_id, patch_id, cell_id as node, cell_id as label from cn
@@ -158,7 +158,7 @@ def assortativity(v):
     {**NODES_T, "mix": MIX.format(k="slide_id")}), ["g_edge_density", "assort_type", *MIX_COLS]))
 def slide_graph(v):
     t = typed_nodes(v)
-    n, e = G.merge_graphs(t, S.radius_edges(t))
+    n, e = G.merge_graphs(t, stable(S.radius_edges(t)))
     ends = G.attach_ends(n, e, ["grp", *[f"{m}_pos" for m in POSITIVE_MARKERS]], ["slide_id"])
     return r6(G.graph_size(n, e, ["slide_id"]).join(G.assortativity(ends, n, "grp", ["slide_id"]), "slide_id")
               .join(G.edge_mix(ends, n, ["slide_id"]), "slide_id"))
@@ -175,7 +175,7 @@ def slide_graph(v):
 def modularity(v):
     t = typed_nodes(v)
     member = t.select(*PATCH, F.col("cell_id").alias("node"), F.col("grp").alias("community"))
-    return r6(G.modularity(t, S.radius_edges(t), member))
+    return r6(G.modularity(t, stable(S.radius_edges(t)), member))
 
 
 @query("path_features", "GRF-06 GRF-07 GRF-08 GRF-09 GRF-10")

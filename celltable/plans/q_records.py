@@ -1,23 +1,18 @@
 """Source, sink, set and reader-study queries."""
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from celltable.functions import columns as C
 from celltable.operators import records as R
 from celltable.plans.q_cells import COMPOSITION_SQL, PID, cells
 from celltable.plans.registry import query, r6
-from celltable.plans.views import with_views
+from celltable.plans.views import shared_folder, with_views
 from celltable.sources import readers as IN, writers as OUT
 from celltable.streaming import inbox as ST
 
 
 def shared_dir(v, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder of the session."""
-    base = v.spark.conf.get("spark.checkpoint.dir", None)
-    import uuid
-    return f"{base}/{name}-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix=f"{name}-") + "/t"
+    return shared_folder(v.spark, name)
 
 
 NAMES = """select p_partkey, upper(regexp_extract(path, '/([^/_]+)_', 1)) as marker, lower(regexp_extract(path, '_([A-Za-z]+)_[A-Za-z]+_[0-9]+', 1)) as source,

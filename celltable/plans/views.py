@@ -6,6 +6,9 @@ plain aggregate of whole input tables."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -16,12 +19,11 @@ _CELLS_IN = """select l_suppkey, l_orderkey, l_partkey, l_linenumber, l_quantity
     (l_partkey*7919+l_linenumber*104729)%768 as x, (l_orderkey*6151+l_partkey*31)%768 as y from {lineitem}"""
 
 VIEWS: dict[str, str | tuple[str, str]] = {
-    "cells": f"""
+    "cells": tuple(f"""
 select cast(l_suppkey as string) as slide_id,
   concat(cast(cast(floor(y/256) as int)*256 as string), '_', cast(cast(floor(x/256) as int)*256 as string), '_',
          cast(l_orderkey as string), cast(l_linenumber as string), lpad(cast(l_partkey as string), 9, '0'),
-         cast(extract(year from l_shipdate)*10000+extract(month from l_shipdate)*100
-              +extract(day from l_shipdate) as string),
+         cast({day} as string),
          lpad(cast(cast(l_quantity as int) as string), 2, '0')) as cell_id,
   cast(x as double) as x, cast(y as double) as y, 20+l_quantity*3 as nucleus_area, l_quantity as DAPI,
   round(l_discount*100,0) as Foxp3, round(l_tax*100,0) as CD19, sqrt(l_extendedprice)/10 as CD68,
@@ -29,7 +31,7 @@ select cast(l_suppkey as string) as slide_id,
   cast((l_partkey*3+l_orderkey) % 19 as double) as CD8,
   case when l_linenumber = 7 then null else cast(l_linenumber as double) end as SampleAF,
   sqrt(l_extendedprice)*0.37 as CD3_var, l_returnflag as side, l_linestatus as status
-from ({_CELLS_IN})""",
+from ({_CELLS_IN})""" for day in ("unix_date(cast(l_shipdate as date))", "(cast(l_shipdate as date) - date '1970-01-01')")),
     "bags": """
 select cast(label as string) as slide_id, vec_id, (vec_id % 16)*256 as x,
   cast(floor(vec_id/16) as bigint)*256 as y, embedding as feature
@@ -115,6 +117,15 @@ from (select *, unnest([
 DEPENDS = {"logits": ["cohort"]}
 
 
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name under the shared folder of the session."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="celltable-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin a scan that yields fewer tasks than the session has cores.
 
@@ -138,7 +149,7 @@ class Views:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def sql(self, text: str) -> DataFrame:
-        used = {t: self.table(t) for t in TABLES if "{" + t + "}" in text}
+        used = {t: spread(self.table(t)) for t in TABLES if "{" + t + "}" in text}
         return self.spark.sql(text, **used) if used else self.spark.sql(text)
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -146,10 +157,25 @@ class Views:
             return self.table(name)
         if name not in VIEWS:
             raise AttributeError(name)
+        if name == "cells":
+            return self._written(name)
+        return self._derived(name)
+
+    def _derived(self, name: str) -> DataFrame:
         text = _text(name, 0)
         for dep in DEPENDS.get(name, []):
             text = f"with {dep} as ({_text(dep, 0)}) {text}"
-        return spread(self.sql(text))
+        return self.sql(text)
+
+    def _written(self, name: str) -> DataFrame:
+        """The view as a table in the shared folder, written once per session and input
+        folder.  Most queries read it several times with few columns, so a stored
+        table (pruned, split into many tasks) beats deriving it in every branch."""
+        key = (self.spark.sparkContext.applicationId, self.dir, name)
+        if key not in _WRITTEN:
+            _WRITTEN[key] = shared_folder(self.spark, name)
+            self._derived(name).write.parquet(_WRITTEN[key])
+        return self.spark.read.parquet(_WRITTEN[key])
 
 
 def with_views(names: str, body: str, extra: dict[str, str] | None = None) -> str:

@@ -15,6 +15,7 @@ def local_session(name: str, cores: str | int | None = None) -> SparkSession:
              .config("spark.driver.memory", "12g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .config("spark.sql.shuffle.partitions", str(cores))
              .config("spark.sql.adaptive.enabled", "true")
+             .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "20000")
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.sql.execution.arrow.pyspark.enabled", "true")
              .config("spark.local.dir", scratch)
