@@ -191,10 +191,9 @@ def tissue_rings(rings: DataFrame, min_area: float, min_hole: float, n_holes: in
     out = rings.filter(~F.col("is_hole")).unionByName(holes).join(keep.select("slide_id", "tissue_id"), ["slide_id", "tissue_id"], "left_semi")
     out = out.withColumn("pts", F.transform("pts", lambda p: F.struct(
         scale_int(p["x"], scale).alias("x"), scale_int(p["y"], scale).alias("y"))))
-    lost = rings.select("slide_id").distinct().join(out, "slide_id", "left_anti").select(
-        "slide_id", F.raise_error(F.concat(F.lit("no tissue left on slide "), F.col("slide_id"))).cast("int").alias("_e"))
-    check = lost.groupBy("slide_id").agg(F.max("_e").alias("_e"))
-    return out.join(check, "slide_id", "left").filter(F.col("_e").isNull()).drop("_e")
+    lost = rings.select("slide_id").distinct().join(out.select("slide_id").distinct(), "slide_id", "left_anti")
+    lost = lost.filter(F.raise_error(F.concat(F.lit("no tissue left on slide "), F.col("slide_id"))).cast("boolean"))
+    return out.unionByName(lost, allowMissingColumns=True)
 
 
 def segments(rings: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ def test_small_patches_have_null_moments(spark):
     assert f["1_0"]["CD3__sd"] is None and f["1_0"]["CD3__cv"] == 0.0 and f["2_0"]["CD3__skew"] is None
     assert f["3_0"]["CD3__kurt"] is None and f["4_0"]["CD3__kurt"] == pytest.approx(-1.36)
     assert f["4_0"]["CD3__mad"] == 1.0 and f["4_0"]["CD3__iqr"] == pytest.approx(1.5)
-    assert f["3_0"]["type_count__Treg"] == 0 and f["4_0"]["n_cells"] == 4
+    assert f["3_0"]["type_count__CD8 T"] == 0 and f["4_0"]["n_cells"] == 4
 
 
 def test_column_count_with_all_variances(spark):
