@@ -148,7 +148,7 @@ def _search(packed: DataFrame, k: int) -> DataFrame:
             for row in b.to_pylist():
                 if (row["block"], row["dim"]) != shard:
                     shard = (row["block"], row["dim"])
-                    ids, points, _ = _unpacked(row)
+                    ids, points, _ = _unpacked({**row, "kths": b""})
                     tree = build_tree(points.astype(np.float64))
                 q_ids, queries, kth = _unpacked({"ids": row["q_ids"], "vecs": row["q_vecs"], "kths": row["q_kths"], "dim": row["dim"]})
                 q, v, s = Search(tree, ids, points, q_ids, queries, kth, k).rows()

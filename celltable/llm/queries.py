@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from celltable.llm.ball_tree import top_k
 from celltable.llm.hilbert import shard_documents
+from celltable.llm.suffix_overlap import contaminated, n_hit, with_overlaps
 from celltable.llm.url_cascade import url_filter, url_parts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +71,27 @@ select query_id, rank::int as rank, vec_id, score from
 @query("op10_ball_tree", _TOP_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+_OVERLAP_SQL = """with words as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+items as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark),
+tests as (select distinct item_id, least(13, len(w)) as n, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') as g
+  from (select *, unnest(range(1, len(w) - least(13, len(w)) + 2)) as i from items where len(w) > 0)),
+sizes as (select distinct n from tests),
+places as (select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') as g
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from words, sizes where len(w) >= n)),
+hits as (select distinct doc_id, p.n, i, item_id from places p join tests t on p.n = t.n and p.g = t.g),
+hit as (select doc_id, count(distinct spot) as n_hit from (select doc_id, unnest(range(i, i + n)) as spot from hits) group by doc_id),
+named as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct doc_id, item_id::varchar as item_id from hits) group by doc_id)
+select doc_id, coalesce(len(w), 0)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit > 0 and 20 * n_hit >= len(w), false) as contaminated
+from words left join hit using (doc_id) left join named using (doc_id)"""
+
+
+@query("op3_suffix_overlap", _OVERLAP_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = with_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+    found = found.withColumn("n_hit", n_hit())
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+                        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+                        contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
