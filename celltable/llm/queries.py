@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from celltable.llm import text_cnn
 from celltable.llm.ball_tree import top_k
 from celltable.llm.hilbert import shard_documents
 from celltable.llm.suffix_overlap import contaminated, n_hit, with_overlaps
@@ -95,3 +96,18 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
                         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
                         contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
+
+
+def crc_of(name: str, n: int) -> Column:
+    """crc32 of an id as text, modulo n."""
+    return F.crc32(F.col(name).cast("string")) % n
+
+
+@query("op7_text_cnn")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = text_cnn.fit(docs, table(spark, sf_dir, "labels"), crc_of("doc_id", 5) != 0)
+    scored = text_cnn.with_score(docs, net, ["doc_id", "lang"])
+    threshold = text_cnn.threshold_of(net, F.col("lang"))
+    return scored.select("doc_id", (crc_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+                         threshold.alias("lang_threshold"), (F.col("score") >= threshold).alias("flagged"))

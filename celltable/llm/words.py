@@ -119,6 +119,14 @@ def _fold_long(h: np.ndarray, parts: np.ndarray) -> np.uint64:
     return mix(h, np.add.reduce(salted))[0]
 
 
+def prefixes(data: np.ndarray, words: Words, size: int, fold: np.ndarray | None = None) -> np.ndarray:
+    """Fingerprints of the first ``size`` (at most 8) bytes of every word."""
+    padded = np.concatenate([data if fold is None else fold[data], np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))
+    keep = np.array([(1 << 8 * k) - 1 for k in range(size + 1)], np.uint64)
+    return mix(np.full(len(words.start), np.uint64(size)), eight[words.start] & keep[np.minimum(words.stop - words.start, size)])
+
+
 def windows(words: Words, size: int, short: str = "none") -> tuple[np.ndarray, np.ndarray]:
     """(index of first word, fingerprint) of every run of ``size`` words of one row.
 
