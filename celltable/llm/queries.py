@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from celltable.llm import text_cnn
+from celltable.llm import byte_gru, text_cnn
 from celltable.llm.ball_tree import top_k
 from celltable.llm.hilbert import shard_documents
+from celltable.llm.substring_dedup import remove_repeats
 from celltable.llm.suffix_overlap import contaminated, n_hit, with_overlaps
 from celltable.llm.url_cascade import url_filter, url_parts
 
@@ -111,3 +112,26 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     threshold = text_cnn.threshold_of(net, F.col("lang"))
     return scored.select("doc_id", (crc_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
                          threshold.alias("lang_threshold"), (F.col("score") >= threshold).alias("flagged"))
+
+
+@query("op1_byte_gru")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = byte_gru.fit(docs, crc_of("doc_id", 3) != 1)
+    found = byte_gru.with_language(docs, net, ["doc_id"])
+    return found.select("doc_id", (crc_of("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+_REPEATS_SQL = """with words as (select doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) as w from documents),
+places as (select doc_id, i, array_to_string(w[i:i + 12], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from words where len(w) >= 13)),
+firsts as (select g, min(doc_id) as d from places group by g),
+gone as (select doc_id, list(distinct spot) as spots from (select doc_id, unnest(range(i, i + 13)) as spot from places join firsts using (g) where d < doc_id) group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(len(spots), 0)::bigint as n_removed,
+  sha256(array_to_string(case when spots is null then w else list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda z: not list_contains(spots, z[2])), lambda z: z[1]) end, ' ')) as kept_sha256
+from words left join gone using (doc_id)"""
+
+
+@query("op5_substring_doubling", _REPEATS_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
