@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from celltable.llm import byte_gru, text_cnn
 from celltable.llm.ball_tree import top_k
 from celltable.llm.hilbert import shard_documents
+from celltable.llm.jaccard_join import jaccard_groups
 from celltable.llm.substring_dedup import remove_repeats
 from celltable.llm.suffix_overlap import contaminated, n_hit, with_overlaps
 from celltable.llm.url_cascade import url_filter, url_parts
@@ -135,3 +136,19 @@ from words left join gone using (doc_id)"""
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+_JACCARD_SQL = """with recursive words as (select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) as w from documents),
+sh as (select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+  else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as s from words),
+sizes as (select doc_id, len(s) as n from sh), flat as (select doc_id, unnest(s) as g from sh),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as k from flat a join flat b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+links as (select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * k >= 90 * (x.n + y.n - k)),
+reach(a, b) as (select doc_id, doc_id from sizes union select r.a, l.b from reach r join links l on r.b = l.a),
+comp as (select a as doc_id, min(b) as component_id from reach group by a)
+select doc_id, n::bigint as n_shingles, component_id from sizes join comp using (doc_id)"""
+
+
+@query("op9_jaccard_join", _JACCARD_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents"))
