@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from celltable.llm.store import free_name, quoted, saved
+from celltable.llm.store import quoted, saved
 
 
 def ordered_number(c: Column, kind: str) -> Column:
@@ -40,38 +40,48 @@ def quantised(c: Column, kind: str, cuts: list[float]) -> Column:
 
 
 def with_hilbert_index(df: DataFrame, coords: list[str], bits: int, out: str) -> DataFrame:
-    """Position on the Hilbert curve of a point of ``bits``-bit coordinates; replaces the coordinate columns."""
+    """Position on the Hilbert curve of a point of ``bits``-bit coordinates; replaces the coordinate columns.
+
+    One fold over the bits from the highest turns the axes back level by level; the Gray code of what is left,
+    with its bits interleaved, is the position."""
     n = len(coords)
-    x = [F.col(c) for c in coords]
-    for level in range(bits - 1, 0, -1):
-        low = (1 << level) - 1
+
+    def turn(state: Column, mask: Column) -> Column:
+        low = mask - 1
+        x = [state[f"a{i}"] for i in range(n)]
         for i in range(n):
-            high = x[i].bitwiseAND(1 << level) != 0
-            if i == 0:
-                df = df.withColumn(coords[0], F.when(high, x[0].bitwiseXOR(low)).otherwise(x[0]))
-            else:
-                swap = x[0].bitwiseXOR(x[i]).bitwiseAND(low)
-                df = df.withColumns({coords[0]: F.when(high, x[0].bitwiseXOR(low)).otherwise(x[0].bitwiseXOR(swap)),
-                                     coords[i]: F.when(high, x[i]).otherwise(x[i].bitwiseXOR(swap))})
+            high = x[i].bitwiseAND(mask) != 0
+            swap = x[0].bitwiseXOR(x[i]).bitwiseAND(low)
+            first = F.when(high, x[0].bitwiseXOR(low)).otherwise(x[0].bitwiseXOR(swap))
+            if i:
+                x[i] = F.when(high, x[i]).otherwise(x[i].bitwiseXOR(swap))
+            x[0] = first
+        return F.struct(*[c.alias(f"a{i}") for i, c in enumerate(x)])
+
+    start = F.struct(*[F.col(c).alias(f"a{i}") for i, c in enumerate(coords)])
+    masks = F.array(*[F.lit(1 << k) for k in range(bits - 1, 0, -1)]) if bits > 1 else F.array().cast("array<int>")
+    df = df.withColumn(coords[0], F.aggregate(masks, start, turn))
+    turned = F.col(coords[0])
+    gray = [turned["a0"]]
     for i in range(1, n):
-        df = df.withColumn(coords[i], x[i].bitwiseXOR(x[i - 1]))
+        gray.append(gray[-1].bitwiseXOR(turned[f"a{i}"]))
     flip = F.lit(0)
-    for level in range(bits - 1, 0, -1):
-        flip = flip.bitwiseXOR(F.when(x[-1].bitwiseAND(1 << level) != 0, (1 << level) - 1).otherwise(0))
-    df = df.withColumn(coords[-1] + "_flip", flip)
+    for k in range(bits - 1, 0, -1):
+        flip = flip.bitwiseXOR(F.when(gray[-1].bitwiseAND(1 << k) != 0, (1 << k) - 1).otherwise(0))
+    df = df.select(*[c for c in df.columns if c not in coords], F.array(*gray).alias(coords[0]), flip.alias(coords[-1] + "_flip"))
     index = F.lit(0).cast("bigint")
-    for level in range(bits - 1, -1, -1):
+    for k in range(bits - 1, -1, -1):
         for i in range(n):
-            bit = F.shiftright(x[i].bitwiseXOR(F.col(coords[-1] + "_flip")), level).bitwiseAND(1)
+            bit = F.shiftright(F.col(coords[0])[i].bitwiseXOR(F.col(coords[-1] + "_flip")), k).bitwiseAND(1)
             index = F.shiftleft(index, 1).bitwiseOR(bit.cast("bigint"))
-    return df.withColumn(out, index).drop(*coords, coords[-1] + "_flip")
+    return df.withColumn(out, index).drop(coords[0], coords[-1] + "_flip")
 
 
 def hilbert_order(df: DataFrame, dims: list[str], bits: int = 5, out: str = "curve") -> DataFrame:
     """The rows with their place on the curve through the quantised dimensions."""
     kinds = dict(df.dtypes)
     cuts = edges(df, dims, bits)
-    coords = [free_name(df, f"_axis{i}") for i in range(len(dims))]
+    coords = [f"_axis{i}" for i in range(len(dims))]
     df = df.withColumns({a: quantised(F.col(quoted(d)), kinds[d], c).cast("int") for a, d, c in zip(coords, dims, cuts, strict=True)})
     return with_hilbert_index(df, coords, bits, out)
 

@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
 from celltable.llm import byte_gru, text_cnn
 from celltable.llm.ball_tree import top_k
 from celltable.llm.hilbert import shard_documents
 from celltable.llm.jaccard_join import jaccard_groups
+from celltable.llm.kneser_ney import quality
+from celltable.llm.raking import mixed
 from celltable.llm.substring_dedup import remove_repeats
 from celltable.llm.suffix_overlap import contaminated, n_hit, with_overlaps
 from celltable.llm.url_cascade import url_filter, url_parts
@@ -152,3 +155,18 @@ select doc_id, n::bigint as n_shingles, component_id from sizes join comp using
 @query("op9_jaccard_join", _JACCARD_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op8_raking")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "chance", "sampled")
+
+
+@query("op2_kneser_ney")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter("quality = 1"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)

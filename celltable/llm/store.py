@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def ready(spark: SparkSession) -> None:
@@ -22,13 +22,9 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def free_name(df: DataFrame, base: str) -> str:
-    """A column name that the table does not use, whatever the case."""
-    used = {c.lower() for c in df.columns}
-    name, k = base, 0
-    while name.lower() in used:
-        name, k = f"{base}{k}", k + 1
-    return name
+def with_own(df: DataFrame, *needed: str) -> DataFrame:
+    """Every row as one struct ``own`` beside the columns that an operator needs, so that no name can clash."""
+    return df.select(F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("own"), *[F.col(c) for c in needed])
 
 
 def quoted(name: str) -> str:

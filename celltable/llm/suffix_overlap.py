@@ -20,7 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from celltable.llm.store import with_own
 from celltable.llm.words import byte_classes, lower_table, pieces, split_words, text_bytes
 
 WINDOW, BLOCK_WORDS, PAIRS = 13, 1 << 18, 1 << 21
@@ -176,7 +178,6 @@ def with_overlaps(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_c
         last = number == len(blocks) - 1
         fields = [f for f in df.schema.fields if f.name in keep or (f.name == "_text" and not last)] + list(extra.fields)
         names = [f.name for f in fields]
-        from pyspark.sql.pandas.types import to_arrow_schema
         found_type = {f.name: f.type for f in to_arrow_schema(extra)}
 
         def run(batches, block=block, names=names, number=number, found_type=found_type):
@@ -202,8 +203,7 @@ def contaminated(hit: Column, words: Column) -> Column:
     return (hit > 0) & (20 * hit >= words)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, with their own columns, that are not contaminated."""
-    keep = docs.columns
-    found = with_overlaps(docs, benchmark, keep, text_col)
-    return found.filter(~contaminated(n_hit(), F.col("n_words"))).select(*keep)
+    found = with_overlaps(with_own(docs, "text"), benchmark, ["own"])
+    return found.filter(~contaminated(n_hit(), F.col("n_words"))).select("own.*")
