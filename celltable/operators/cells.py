@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from celltable.functions import columns as C
 from celltable.functions.columns import CELL_TYPES, MARKERS
-from celltable.operators.skew import quantiles
+from celltable.operators.skew import join_same, quantiles
 
 SLIDE = ["slide_id"]
 CORE = ["cell_id", "x", "y", "nucleus_area"]
@@ -63,7 +63,7 @@ def flag_markers(cells: DataFrame, cuts: DataFrame, markers: list[str] = MARKERS
     for m in markers:
         cols[f"{m}_pos"] = flag(m, f"{m}_weak")
         cols[f"{m}_strong"] = flag(m, f"{m}_strong_cut")
-    return (cells.join(cuts, "slide_id").withColumns(cols)
+    return (join_same(cells, cuts, SLIDE).withColumns(cols)
             .drop(*[f"{m}_weak" for m in markers], *[f"{m}_strong_cut" for m in markers]))
 
 
@@ -122,7 +122,7 @@ def percentile_scale(df: DataFrame, keys: list[str], cols: list[str], lo: float
         return F.when(F.col(c).isNotNull(),
                       F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(c) - low) / width)))
 
-    return (df.join(q, keys).withColumns({f"{c}{suffix}": scaled(c) for c in cols})
+    return (join_same(df, q, keys).withColumns({f"{c}{suffix}": scaled(c) for c in cols})
             .drop(*[f"{c}_plo" for c in cols], *[f"{c}_phi" for c in cols]))
 
 
@@ -157,7 +157,7 @@ def type_scored(cells: DataFrame, qlow: float = 1.0, qhigh: float = 99.5, win: f
 def robust_scale(df: DataFrame, keys: list[str], cols: list[str], split: bool | None = None) -> DataFrame:
     """(x - median) / IQR per group, a zero IQR dividing by one; the input stays in ``<c>_orig``."""
     q = quantiles(df, keys, cols, [0.25, 0.5, 0.75], split=split)
-    joined = df.join(q, keys)
+    joined = join_same(df, q, keys)
     new = {}
     for c in cols:
         width = F.col(f"{c}_q")[2] - F.col(f"{c}_q")[0]

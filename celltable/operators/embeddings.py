@@ -81,11 +81,11 @@ def info_nce(df: DataFrame, batch: str, item: str, query: str, positive: str, te
              symmetric: bool = False, batch_size: int = 256) -> DataFrame:
     """Contrastive loss per batch: positives on the diagonal, other rows of the batch negative.
 
-    A batch is a training batch of at most ``batch_size`` rows (checked); batches of
-    one row are left out."""
+    A batch is a training batch of at most ``batch_size`` rows (checked); a batch of
+    one row has no negatives and loss zero."""
     sizes = df.groupBy(batch).agg(F.count(F.lit(1)).alias("_n"))
     too_big = F.raise_error(F.lit(f"a batch has more than {batch_size} rows")).cast("boolean")
-    ok = sizes.filter((F.col("_n") > 1) & F.when(F.col("_n") <= batch_size, F.lit(True)).otherwise(too_big))
+    ok = sizes.filter(F.when(F.col("_n") <= batch_size, F.lit(True)).otherwise(too_big))
     d = df.join(ok.select(batch), batch, "left_semi")
     q = d.select(batch, F.col(item).alias("i"), F.col(query).alias("q"))
     p = d.select(batch, F.col(item).alias("j"), F.col(positive).alias("p"))

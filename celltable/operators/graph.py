@@ -117,7 +117,7 @@ def _label_group(keys: list[str]):
 # ---- components ---------------------------------------------------------------------
 
 def components(nodes: DataFrame, edges: DataFrame, keys: list[str] = PATCH, node: str = "cell_id",
-               max_rounds: int = 100, small: int = 200_000) -> DataFrame:
+               small: int = 200_000) -> DataFrame:
     """Component of every node, named by its smallest node id.
 
     When every graph has at most ``small`` edges (measured), each is labelled inside
@@ -137,7 +137,7 @@ def components(nodes: DataFrame, edges: DataFrame, keys: list[str] = PATCH, node
         schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + [f"node {types['u']}", f"component {types['u']}"])
         return named(e.groupBy(*keys).applyInPandas(_label_group(keys), schema))
     mark = None
-    for _ in range(max_rounds):
+    while True:
         sym = e.unionByName(e.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         low = sym.groupBy(*keys, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = (sym.filter(F.col("v") > F.col("u")).join(low, [*keys, "u"])
@@ -151,8 +151,6 @@ def components(nodes: DataFrame, edges: DataFrame, keys: list[str] = PATCH, node
         if tuple(now) == mark:
             break
         mark = tuple(now)
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return named(e.select(*keys, F.col("u").alias("node"), F.col("v").alias("component")))
 
 
@@ -289,29 +287,29 @@ def graph_features(nodes: DataFrame, edges: DataFrame, keys: list[str] = PATCH)
 
 # ---- greedy selection of super-patches ----------------------------------------------
 
-def select_superpatches(nodes: DataFrame, pairs: DataFrame, keys: list[str] = ["slide_id"], node: str = "vec_id",
-                        max_rounds: int = 200) -> DataFrame:
-    """Nodes kept by visiting in (neighbour count desc, id desc) order, each kept
-    node removing its live neighbours.
+def select_superpatches(nodes: DataFrame, pairs: DataFrame, keys: list[str] = ["slide_id"], node: str = "vec_id") -> DataFrame:
+    """Nodes kept by visiting in (neighbour count, hash of the id, id) order, all descending, each kept node
+    removing its live neighbours.
 
-    Every round keeps all live local maxima of that order and removes their
-    neighbours, which yields the same set as the sequential visit."""
-    deg = degrees(nodes, pairs, keys, node).withColumn("rank", F.struct("degree", "node"))
+    Every round keeps all live local maxima of that order and removes their neighbours, which yields the same set as
+    the sequential visit.  Ties go by a hash, so chains of falling ranks stay short on regular grids; at least the
+    highest live node settles each round, so the loop ends."""
+    deg = degrees(nodes, pairs, keys, node).withColumn("rank", F.struct("degree", F.xxhash64("node"), "node"))
     adj = stable(both_ways(pairs, keys))
     live, kept = stable(deg.select(*keys, "node", "rank")), None
-    for _ in range(max_rounds):
+    while True:
         nb = live.select(*keys, F.col("node").alias("nb"), F.col("rank").alias("nb_rank"))
         best = (adj.join(live.select(*keys, "node"), [*keys, "node"], "left_semi").join(nb, [*keys, "nb"])
                 .groupBy(*keys, "node").agg(F.max("nb_rank").alias("best")))
-        top = stable(live.join(best, [*keys, "node"], "left")
-                     .filter(F.col("best").isNull() | (F.col("rank") > F.col("best"))).select(*keys, "node"))
+        ranked = live.join(best, [*keys, "node"], "left").withColumn("top", F.col("best").isNull() | (F.col("rank") > F.col("best")))
+        beaten = (adj.join(ranked.filter("top").select(*keys, "node"), [*keys, "node"], "left_semi")
+                  .select(*keys, F.col("nb").alias("node")).distinct().withColumn("beaten", F.lit(True)))
+        state = stable(ranked.join(beaten, [*keys, "node"], "left").select(*keys, "node", "rank", "top", "beaten"))
+        top = state.filter("top").select(*keys, "node")
         kept = top if kept is None else kept.unionByName(top)
-        gone = (adj.join(top, [*keys, "node"], "left_semi").select(*keys, F.col("nb").alias("node"))
-                .unionByName(top))
-        live = stable(live.join(gone, [*keys, "node"], "left_anti"))
+        live = state.filter("not top and beaten is null").select(*keys, "node", "rank")
         if live.isEmpty():
             return kept
-    raise RuntimeError(f"selection did not settle in {max_rounds} rounds")
 
 
 def merge_superpatches(bags: DataFrame, pairs: DataFrame, kept: DataFrame, keys: list[str] = ["slide_id"],

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from celltable.operators.skew import avg_rank, has_hot_group, prefix_agg, row_index
+from celltable.operators.skew import avg_rank, has_hot_group, prefix_agg, row_index, stable
 
 
 def order_key(seed: int | Column, *ids: str) -> Column:
@@ -54,10 +54,14 @@ def weighted_draw(df: DataFrame, weight: str, n: int, seed: int, item: str) -> D
     """n draws with replacement, probability proportional to weight.
 
     Cumulative weights cut [0, total) into intervals; draws are uniform numbers
-    from a hash, matched to intervals through a shared coarse bucket."""
+    from a hash, matched to intervals through a shared bucket.  There are as many
+    buckets as items, and the total is the last running total, so every draw has
+    its interval."""
     cum = prefix_agg(df.withColumn("_w", F.col(weight).cast("double")), [], [item], "_w", "_hi")
-    total = df.agg(F.sum(weight)).first()[0]
-    buckets = max(1, min(n, 4096))
+    cum = stable(cum.filter("_w > 0"))
+    total, buckets = cum.agg(F.max("_hi"), F.count(F.lit(1))).first()
+    if not total:
+        return df.limit(0).withColumn("draw", F.lit(0).cast("bigint"))
     width = float(total) / buckets
     cum = cum.withColumn("_lo", F.col("_hi") - F.col("_w"))
     cum = cum.withColumn("_b", F.explode(F.sequence(

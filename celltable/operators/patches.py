@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from celltable.functions import columns as C
 from celltable.functions.columns import CELL_TYPES, COEXPRESSION_PAIRS, MARKERS
-from celltable.operators.skew import group_mad, has_hot_group, quantiles
+from celltable.operators.skew import group_mad, has_hot_group, join_same, quantiles
 
 PATCH = ["slide_id", "patch_id"]
 EPS = 1e-6
@@ -75,7 +75,7 @@ def quantile_features(cells: DataFrame, keys: list[str], cols: list[str], split:
     q = q.select(*keys, *[e for c in cols for e in (
         *[F.col(f"{c}_q")[i].alias(f"{c}_{n}") for i, n in enumerate(["p10", "p25", "med", "p75", "p90"])],)])
     mad = group_mad(cells, keys, cols, q, split=split)
-    return q.join(mad, keys).select(*keys, *[e for c in cols for e in (
+    return join_same(q, mad, keys).select(*keys, *[e for c in cols for e in (
         F.col(f"{c}_med"), F.col(f"{c}_mad"), (F.col(f"{c}_p75") - F.col(f"{c}_p25")).alias(f"{c}_iqr"),
         F.col(f"{c}_p10"), F.col(f"{c}_p25"), F.col(f"{c}_p75"), F.col(f"{c}_p90"))])
 
@@ -111,7 +111,7 @@ def immunoscore(feats: DataFrame) -> DataFrame:
     m = feats.groupBy("slide_id").agg(*[e for r in rates for e in (
         F.avg(r).alias(f"{r}_m"), F.stddev_samp(r).alias(f"{r}_s"))])
     z = [(F.col(r) - F.col(f"{r}_m")) / (F.col(f"{r}_s") + EPS) for r in rates]
-    return (feats.join(m, "slide_id").withColumn("immunoscore_proxy", z[0] + z[1])
+    return (join_same(feats, m, ["slide_id"]).withColumn("immunoscore_proxy", z[0] + z[1])
             .drop(*[f"{r}_{s}" for r in rates for s in "ms"]))
 
 
@@ -147,8 +147,8 @@ def patch_features(typed: DataFrame, markers: list[str] = MARKERS, split: bool |
         *[e for v in var for e in (F.avg(v).alias(f"{v}__mean"), F.stddev_samp(v).alias(f"{v}__sd"))], *inline)
     q = quantiles(raw, PATCH, [*cols, *var], PROBS, split=True) if split else quantiles(raw, PATCH, cols, [0.5], split=False)
     med = q.select(*PATCH, *[F.element_at(f"{c}_q", 3 if split else 1).alias(f"{c}_med") for c in cols])
-    f = base.join(q, PATCH) if split else base
-    f = f.join(group_mad(raw.select(*PATCH, *cols), PATCH, cols, med, split=split), PATCH)
+    f = join_same(base, q, PATCH) if split else base
+    f = join_same(f, group_mad(raw.select(*PATCH, *cols), PATCH, cols, med, split=split), PATCH)
     names = ["p10", "p25", "med", "p75", "p90"]
     f = f.withColumns({f"{c}_{n}": F.col(f"{c}_q")[i] for c in cols for i, n in enumerate(names)})
     f = f.withColumns({**{f"{c}_iqr": F.col(f"{c}_p75") - F.col(f"{c}_p25") for c in cols},
@@ -188,7 +188,7 @@ def summary(df: DataFrame, keys: list[str], c: str, split: bool | None = None) -
     q = quantiles(df, keys, [c], [0.25, 0.5, 0.75], split=split)
     m = df.groupBy(*keys).agg(F.avg(c).alias("mean"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias("sd"),
                               F.max(c).alias("max"))
-    return m.join(q, keys).select(*keys, "mean", F.col(f"{c}_q")[1].alias("median"), "sd",
+    return join_same(m, q, keys).select(*keys, "mean", F.col(f"{c}_q")[1].alias("median"), "sd",
                                   (F.col(f"{c}_q")[2] - F.col(f"{c}_q")[0]).alias("iqr"), "max")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from celltable.operators.graph import component_sizes, components
 from celltable.operators.skew import prefix_agg, row_index, stable
+from celltable.operators.spatial import join_boxes
 
 
 def overlaps(px: DataFrame, true: str = "true_id", pred: str = "pred_id") -> DataFrame:
@@ -295,15 +296,15 @@ def offset_map(px: DataFrame, inst: str = "inst", min_size: int = 30) -> DataFra
     return d.select("img", "y", "x", inst, scaled("x").alias("h"), scaled("y").alias("v"))
 
 
-def reconcile(base: DataFrame, seam: DataFrame, boxes: DataFrame, pad: int = 0) -> DataFrame:
+def reconcile(base: DataFrame, seam: DataFrame, boxes: DataFrame, cell: float = 64.0) -> DataFrame:
     """Merge re-segmented seam boxes into a base label table, one pass for all boxes.
 
     An existing instance wholly inside a box is dropped, one touching the box edge is
     kept; a new instance is added unless it overlaps a kept one.  New ids continue
-    after the largest base id of the image.  Run once per tile set (boundary, then cross)."""
+    after the largest base id of the image.  Run once per tile set (boundary, then cross).
+    Pixels meet boxes on grid cells of width ``cell`` (the usual box size)."""
     b = base.filter(F.col("inst") > 0)
-    inside = b.join(boxes, "img").filter((F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1"))
-                                         & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1")))
+    inside = join_boxes(b, boxes, ["img"], cell)
     edge = ((F.col("x") == F.col("x0")) | (F.col("x") == F.col("x1") - 1)
             | (F.col("y") == F.col("y0")) | (F.col("y") == F.col("y1") - 1))
     touch = inside.groupBy("img", "box", "inst").agg(F.max(edge).alias("edge"))

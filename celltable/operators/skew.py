@@ -10,9 +10,9 @@ the same exact answer.
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from celltable.functions.columns import col
 
@@ -24,15 +24,29 @@ def group_limit(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(LIMIT_KEY, str(GROUP_LIMIT)))
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir, which driver and executors share; an error by name without it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder
+
+
 def stable(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder named by spark.checkpoint.dir."""
-    sc = df.sparkSession.sparkContext
+    folder, sc = shared_dir(df.sparkSession), df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None)
-                            or tempfile.mkdtemp(prefix="celltable-ckpt-"))
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which NULL equals NULL; the key columns are those of the left side."""
+    names = {k: f"_same_{i}" for i, k in enumerate(keys)}
+    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()], F.lit(True))
+    return left.join(right.withColumnsRenamed(names), match, how).drop(*names.values())
+
+
 def has_hot_group(df: DataFrame, keys: list[str], limit: int | None = None) -> bool:
     limit = limit or group_limit(df)
     if df.count() <= limit:
@@ -47,8 +61,9 @@ def prefix_agg(df: DataFrame, keys: list[str], order: list, value: Column | str,
     """Running sum or max per key in the given order, current row included.
 
     ``split`` forces (True) or forbids (False) the range-partitioned way; None
-    measures the groups.  ``order`` should be unique inside a key."""
-    fn, join = {"sum": (F.sum, lambda a, b: a + F.coalesce(b, F.lit(0))),
+    measures the groups.  ``order`` should be unique inside a key.  A NULL key is a
+    key; a NULL amount counts as none, and a row with only NULLs up to it gets NULL."""
+    fn, join = {"sum": (F.sum, lambda a, b: F.when(a.isNull(), b).otherwise(a + F.coalesce(b, F.lit(0)))),
                 "max": (F.max, lambda a, b: F.greatest(a, b))}[how]
     if split is None:
         split = has_hot_group(df, keys)
@@ -64,8 +79,7 @@ def prefix_agg(df: DataFrame, keys: list[str], order: list, value: Column | str,
     offsets = (laid.groupBy(*keys, "_slice").agg(fn("_amount").alias("_part"))
                .withColumn("_before", fn("_part").over(w_off)).drop("_part"))
     w_in = Window.partitionBy("_slice", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (laid.withColumn(out, fn("_amount").over(w_in))
-            .join(offsets, [*keys, "_slice"])
+    return (join_same(laid.withColumn(out, fn("_amount").over(w_in)), offsets, [*keys, "_slice"])
             .withColumn(out, join(F.col(out), F.col("_before")))
             .drop("_amount", "_slice", "_before"))
 
@@ -87,7 +101,7 @@ def avg_rank(df: DataFrame, keys: list[str], value: str, out: str = "rank",
     ranked = prefix_agg(peers, keys, [value], "_peers", "_cum", split=split)
     ranked = ranked.select(*keys, value, (F.col("_cum") - F.col("_peers")
                                           + (F.col("_peers") + 1) / 2.0).alias(out))
-    return df.join(ranked, [*keys, value], "left")
+    return join_same(df, ranked, [*keys, value], "left")
 
 
 def quantiles(df: DataFrame, keys: list[str], cols: list[str], probs: list[float],
@@ -106,7 +120,7 @@ def quantiles(df: DataFrame, keys: list[str], cols: list[str], probs: list[float
               .groupBy(*keys, "_var", "_val").agg(F.count(F.lit(1)).alias("_n")))
     cum = prefix_agg(counts, [*keys, "_var"], ["_val"], "_n", "_cum", split=True)
     totals = counts.groupBy(*keys, "_var").agg(F.sum("_n").alias("_total"))
-    cum = cum.join(totals, [*keys, "_var"])
+    cum = join_same(cum, totals, [*keys, "_var"])
     picks = []
     for i, p in enumerate(probs):
         pos = (F.col("_total") - 1) * float(p)
@@ -117,15 +131,17 @@ def quantiles(df: DataFrame, keys: list[str], cols: list[str], probs: list[float
     got = got.select(*keys, "_var", F.array(*[
         F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}")
         for i in range(len(probs))]).alias("_q"))
-    return got.groupBy(*keys).agg(*[
+    found = got.groupBy(*keys).agg(*[
         F.any_value(F.when(F.col("_var") == c, F.col("_q")), True).alias(f"{c}_q") for c in cols])
+    # groups whose values are all NULL keep their row, with NULL quantiles
+    return join_same(df.select(*keys).distinct(), found, keys, "left") if keys else found
 
 
 def group_mad(df: DataFrame, keys: list[str], cols: list[str], medians: DataFrame,
               split: bool | None = None) -> DataFrame:
     """Median absolute deviation ``<c>_mad`` given a table of ``<c>_med``."""
     rows = df.select(*keys, *cols)
-    dev = (rows if split else rows.repartition(*keys)).join(medians.select(*keys, *[f"{c}_med" for c in cols]), keys)
+    dev = join_same(rows if split else rows.repartition(*keys), medians.select(*keys, *[f"{c}_med" for c in cols]), keys)
     dev = dev.select(*keys, *[F.abs(F.col(c) - F.col(f"{c}_med")).alias(c) for c in cols])
     q = quantiles(dev, keys, cols, [0.5], split=split)
     return q.select(*keys, *[F.col(f"{c}_q")[0].alias(f"{c}_mad") for c in cols])

@@ -124,8 +124,8 @@ def ema(df: DataFrame, keys: list[str], order: list[str], value: str, alpha: flo
     """Exponential moving average seeded by the first value.
 
     Rows are numbered and cut into blocks after which older terms weigh less than
-    1e-5; a block needs its own rows and the sums of the four blocks before it
-    (anything older is below double precision), so long runs spread over tasks."""
+    1e-5; a block needs its own rows and the sums of the blocks before it, as far back
+    as a weight is not zero in double precision, so long runs spread over tasks."""
     import math
 
     from pyspark.sql import Window
@@ -138,7 +138,10 @@ def ema(df: DataFrame, keys: list[str], order: list[str], value: str, alpha: flo
     w = Window.partitionBy(*keys, "_b").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("_own", F.sum(F.col("_w") * F.pow(a, -F.col("_p"))).over(w) * F.pow(a, F.col("_p")))
     tail = d.groupBy(*keys, "_b").agg(F.sum(F.col("_w") * F.pow(a, (size - 1) - F.col("_p"))).alias("_t"))
-    carry = (tail.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(4))))
+    reach = 1
+    while (alpha ** size) ** reach > 0.0 and 0 < alpha < 1:
+        reach += 1
+    carry = (tail.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(reach))))
              .select(*keys, (F.col("_b") + F.col("_k")).alias("_b"),
                      (F.col("_t") * F.pow(a, (F.col("_k") - 1) * size)).alias("_t"))
              .groupBy(*keys, "_b").agg(F.sum("_t").alias("_in")))

@@ -185,18 +185,22 @@ def top_holes(rings: DataFrame, n: int = 5, min_area: float = 0.0, pixel: float
 
 def tissue_rings(rings: DataFrame, min_area: float, min_hole: float, n_holes: int = 5, pixel: float = 1.0,
                  scale: float = 1.0) -> DataFrame:
-    """Contours of enough area with their largest holes, scaled back; a slide left with none is an error."""
+    """Contours of enough area with their largest holes, scaled back; ``slides_without_tissue`` names the slides left with none."""
     keep = contour_area(rings, pixel).filter(F.col("area") > min_area)
     holes = top_holes(rings, n_holes, min_hole, pixel).select(*rings.columns)
     out = rings.filter(~F.col("is_hole")).unionByName(holes).join(keep.select("slide_id", "tissue_id"), ["slide_id", "tissue_id"], "left_semi")
     out = out.withColumn("pts", F.transform("pts", lambda p: F.struct(
         scale_int(p["x"], scale).alias("x"), scale_int(p["y"], scale).alias("y"))))
-    lost = rings.join(keep.select("slide_id").distinct(), "slide_id", "left_anti").select("slide_id").take(1)
-    if lost:
-        raise ValueError(f"no tissue left on slide {lost[0][0]}")
     return out
 
 
+def slides_without_tissue(rings: DataFrame, min_area: float, pixel: float = 1.0) -> DataFrame:
+    """Error rows (slide_id, reason) of the slides whose contours are all too small."""
+    keep = contour_area(rings, pixel).filter(F.col("area") > min_area).select("slide_id").distinct()
+    lost = rings.select("slide_id").distinct().join(keep, "slide_id", "left_anti")
+    return lost.withColumn("reason", F.lit("no tissue left"))
+
+
 def segments(rings: DataFrame) -> DataFrame:
     p = F.col("pts")
     nxt = F.concat(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), F.slice(p, 1, 1))

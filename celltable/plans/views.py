@@ -6,11 +6,12 @@ plain aggregate of whole input tables."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from celltable.operators.skew import shared_dir
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -122,8 +123,7 @@ _WRITTEN: dict[tuple[str, str, str], str] = {}
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name under the shared folder of the session."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="celltable-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def spread(df: DataFrame) -> DataFrame:

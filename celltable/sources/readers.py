@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import os
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from celltable.functions.columns import MARKERS, finite
 
@@ -26,20 +27,41 @@ def sniff_delimiter(spark: SparkSession, path: str) -> tuple[str, list[str]]:
     line = spark.read.text(path).limit(1).first()
     if line is None:
         raise ValueError(f"{path} is empty")
-    head = line[0].lstrip("﻿")
-    sep = max([",", "\t", ";", "|"], key=head.count)
-    return sep, [h.strip().strip('"') for h in head.split(sep)]
+    head, sep = split_header(line[0])
+    return sep, list(head)
+
+
+def split_header(line: str, sep: str | None = None) -> tuple[tuple[str, ...], str]:
+    head = line.lstrip("\ufeff")
+    mark = sep or max([",", "\t", ";", "|"], key=head.count)
+    return tuple(h.strip().strip('"') for h in head.split(mark)), mark
+
+
+def header_groups(spark: SparkSession, path: str, sep: str | None = None) -> dict[tuple, list[str]]:
+    """Files by (header, delimiter).  One short row per file comes back: its name and first line."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value",
+                                         F.monotonically_increasing_id().alias("nth"))
+    heads = lines.filter("at = 0").groupBy("file").agg(F.min_by("value", "nth").alias("head")).collect()
+    if not heads:
+        raise ValueError(f"{path} is empty")
+    out: dict[tuple, list[str]] = {}
+    for r in sorted(heads, key=lambda r: r["file"]):
+        out.setdefault(split_header(r["head"], sep), []).append(r["file"])
+    return out
 
 
 def read_cells(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
     """Cell CSV (delimiter found by itself, header trimmed) as text columns with ``slide_id``.
 
+    Files are read by their own header and delimiter: one scan for each layout that occurs.
     Columns are read as text; ``clean_cells`` turns them into numbers."""
-    found, header = sniff_delimiter(spark, path)
-    schema = T.StructType([T.StructField(h, T.StringType()) for h in header])
-    df = (spark.read.schema(schema).option("header", True).option("sep", sep or found).option("enforceSchema", True)
-          .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path))
-    return df.select(slide_of_file().alias("slide_id"), *df.columns)
+    parts = []
+    for (first, mark), files in header_groups(spark, path, sep).items():
+        schema = T.StructType([T.StructField(h, T.StringType()) for h in first])
+        df = (spark.read.schema(schema).option("header", True).option("sep", mark).option("enforceSchema", True)
+              .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(files))
+        parts.append(df.select(slide_of_file().alias("slide_id"), *df.columns))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def read_table(spark: SparkSession, path: str, schema: str, null_value: str = "") -> DataFrame:
@@ -96,8 +118,10 @@ def read_polygons(spark: SparkSession, path: str) -> DataFrame:
     def form(row_tag: str, outer: str, point: str) -> DataFrame:
         schema = f"{outer} struct<{point}: array<struct<_X: double, _Y: double>>>"
         d = spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
-        d = d.select(slide_of_file(r"([^/]+)\.xml$").alias("slide_id"), F.monotonically_increasing_id().alias("annotation"),
-                     F.posexplode(F.col(f"{outer}.{point}")).alias("ord", "p"))
+        d = d.select(slide_of_file(r"([^/]+)\.xml$").alias("slide_id"), F.monotonically_increasing_id().alias("_at"), F.col(f"{outer}.{point}").alias("_points"))
+        # numbered by place in the file, however the files are split
+        d = d.withColumn("annotation", F.row_number().over(Window.partitionBy("slide_id").orderBy("_at")).cast("bigint") - 1)
+        d = d.select("slide_id", "annotation", F.posexplode("_points").alias("ord", "p"))
         return d.select("slide_id", "annotation", "ord", F.col("p._X").alias("x"), F.col("p._Y").alias("y"))
 
     a, r = form("Annotation", "Coordinates", "Coordinate"), form("Region", "Vertices", "Vertex")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from celltable.functions.columns import rgb_to_int
 
@@ -28,11 +28,9 @@ def dictionary_json(dictionary: DataFrame) -> str:
 
 
 def to_qupath(nuclei: DataFrame, types: DataFrame) -> DataFrame:
-    """x, y, class, name, color rows; an unknown type keeps its number as the name.
-
-    The type table is a handful of rows from one JSON file, hence the broadcast."""
+    """x, y, class, name, color rows; an unknown type keeps its number as the name."""
     t = types.select(F.col("type_id").alias("type"), F.col("name").alias("_name"), rgb_to_int("r", "g", "b").alias("_color"))
-    return (nuclei.join(F.broadcast(t), "type", "left")
+    return (nuclei.join(t, "type", "left")
             .select(F.col("cx").alias("x"), F.col("cy").alias("y"), F.lit("").alias("class"),
                     F.coalesce("_name", F.col("type").cast("string")).alias("name"), F.coalesce("_color", F.lit(-16777216)).alias("color")))
 
@@ -46,14 +44,17 @@ def regroup(inventory: DataFrame, path: str, keys: list[str], mode: str = "error
     inventory.write.mode(mode).partitionBy(*keys).parquet(path)
 
 
+def has_files(spark: SparkSession, path: str) -> bool:
+    """Does the path hold anything?  A damaged table does, so reading it still fails aloud."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.exists(where) and len(files.listStatus(where)) > 0
+
+
 def append_bags(df: DataFrame, path: str) -> None:
     """Append to a dataset; the schema must match what is there."""
-    spark = df.sparkSession
-    try:
-        have = spark.read.parquet(path).schema
-    except Exception:  # nothing there yet
-        have = None
-    if have is not None:
+    if has_files(df.sparkSession, path):
+        have = df.sparkSession.read.parquet(path).schema
         want = {f.name: f.dataType.simpleString() for f in have.fields}
         got = {f.name: f.dataType.simpleString() for f in df.schema.fields}
         if want != got:

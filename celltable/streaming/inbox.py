@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from celltable.operators.cells import clean_cells, typed_cells
 from celltable.operators.patches import composition_report
-from celltable.sources.writers import upsert
+from celltable.sources.writers import has_files, upsert
 
 
 def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> None:
@@ -18,28 +18,28 @@ def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame,
 
 
 def watch_cells(spark: SparkSession, inbox: str, out: str, checkpoint: str, schema: str,
-                report: Callable[[DataFrame], DataFrame] = composition_report, max_files: int = 1000) -> None:
+                report: Callable[[DataFrame], DataFrame] = composition_report, max_files: int = 1000,
+                errors: str | None = None) -> None:
     """Patch tables for each new cell file (Parquet, one file per slide).
 
     Slide-wide cuts need the whole slide, so a slide spread over several files of a
-    batch, or already written earlier, is refused.  Output is written per batch
+    batch, or already written earlier, goes to the error table (``<out>-errors`` by
+    default: slide_id, reason) and the others go on.  Both are written per batch
     number, so a restarted batch replaces its own rows."""
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(inbox)
               .select("*", F.col("_metadata.file_path").alias("_file")))
 
     def each(batch: DataFrame, number: int) -> None:
-        files = batch.groupBy("slide_id").agg(F.countDistinct("_file").alias("n")).filter("n > 1").take(1)
-        if files:
-            raise ValueError(f"slide {files[0]['slide_id']} arrived in several files")
-        try:
-            seen = batch.sparkSession.read.parquet(out).filter(F.col("batch") != number)
-        except Exception:  # no output yet
-            seen = None
-        if seen is not None:
-            again = batch.select("slide_id").distinct().join(seen.select("slide_id").distinct(), "slide_id").take(1)
-            if again:
-                raise ValueError(f"slide {again[0]['slide_id']} was processed before")
-        table = report(typed_cells(clean_cells(batch.drop("_file"))))
+        several = (batch.groupBy("slide_id").agg(F.countDistinct("_file").alias("n")).filter("n > 1")
+                   .select("slide_id", F.lit("arrived in several files").alias("reason")))
+        bad = several
+        if has_files(batch.sparkSession, out):
+            seen = batch.sparkSession.read.parquet(out).filter(F.col("batch") != number).select("slide_id").distinct()
+            again = batch.select("slide_id").distinct().join(seen, "slide_id", "left_semi")
+            bad = bad.unionByName(again.join(several, "slide_id", "left_anti").select("slide_id", F.lit("was processed before").alias("reason")))
+        bad.write.mode("overwrite").parquet(f"{errors or out.rstrip('/') + '-errors'}/batch={number}")
+        good = batch.drop("_file").join(bad.select("slide_id"), "slide_id", "left_anti").select(*[c for c in batch.columns if c != "_file"])
+        table = report(typed_cells(clean_cells(good)))
         table.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     run_available(stream, checkpoint, each)

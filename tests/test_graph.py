@@ -125,7 +125,8 @@ def test_greedy_selection_equals_sequential(spark):
     got = {r["node"] for r in G.select_superpatches(nodes, edges).collect()}
     adj = {i: {b for a, b in pairs if a == i} | {a for a, b in pairs if b == i} for i in range(n)}
     live, want = set(range(n)), set()
-    for i in sorted(range(n), key=lambda k: (len(adj[k]), k), reverse=True):
+    tie = {r[0]: r[1] for r in nodes.select("vec_id", F.xxhash64("vec_id")).collect()}
+    for i in sorted(range(n), key=lambda k: (len(adj[k]), tie[k], k), reverse=True):
         if i in live:
             want.add(i)
             live -= adj[i] | {i}
