@@ -55,9 +55,9 @@ def progress(records: DataFrame, pool: DataFrame, item: str, group: str = "marke
             .select(group, F.coalesce("labelled", F.lit(0).cast("bigint")).alias("labelled"), "total"))
 
 
-def chunk(df: DataFrame, keys: list[str], order: list[str], size: int = 500) -> DataFrame:
+def chunk(df: DataFrame, keys: list[str], order: list[str], size: int = 500, split: bool | None = None) -> DataFrame:
     """Part number of each row: consecutive rows of a key in parts of ``size``."""
-    return row_index(df, keys, order, "_i").withColumn("part", F.floor(F.col("_i") / size)).drop("_i")
+    return row_index(df, keys, order, "_i", split).withColumn("part", F.floor(F.col("_i") / size)).drop("_i")
 
 
 def zip_sorted(a: DataFrame, b: DataFrame, order_a: list[str], order_b: list[str]) -> DataFrame:
