@@ -5,7 +5,8 @@ margins hold.  A cell's weight is its raked share over its own share; documents
 proportional to their cell's weight, the largest being 1, so the expected token mix has the target margins.
 
 Targets are shares of tokens per margin value.  Without given ones, a margin is tempered: share ** alpha, scaled to one.
-Cells stay in a table; a round is one aggregation and one join per margin, whatever their number.
+Up to ``FEW_CELLS`` cells (counted first) are raked on the driver; more stay in a table, where a round is one
+aggregation and one join per margin.  Both ways give the same shares.
 
 Rules: NULL is a value of its own in every margin.  Target values without tokens are left out and the rest scaled up;
 margin values without a target get none of the mix, so probability 0.  Documents without tokens take their cell's
@@ -15,15 +16,16 @@ fall together, and the sample is the same every time.  Empty tables give no rows
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from celltable.llm.sampling import uniform
 from celltable.llm.store import saved, with_own
 
 MARGINS = ("source", "lang", "topic")
-FEW_CELLS = 100_000
+FEW_CELLS, STALLED = 100_000, 0.95
 
 
 def n_tokens(text: Column) -> Column:
@@ -49,46 +51,79 @@ def _to_one(target: DataFrame, margin: str) -> DataFrame:
     return target.join(F.broadcast(total)).select(margin, (F.col("target") / F.col("all")).alias("target"))  # one row
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-6, most_rounds: int = 1000) -> tuple[DataFrame, float]:
+def rake_spread(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-6, most_rounds: int = 100) -> tuple[DataFrame, float]:
     """``cells`` (margins and tokens) with ``raked``, the fitted token share, and the largest margin error left.
 
     Rounds go on until the error is within the tolerance.  Margins that contradict each other (a combination of values
-    that never occurs) have no exact fit; then the rounds end once the error stops falling, and it is returned.
-    A table of few cells is kept in one partition, where its joins need no exchange."""
+    that never occurs) have no exact fit; then the rounds end once a round takes less than a twentieth off the error,
+    which is returned."""
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    few = cells.count() <= FEW_CELLS
-
-    def kept(df):
-        return saved(df.coalesce(1) if few else df)
-
-    fit = kept(cells.withColumn("raked", F.col("tokens") / F.lit(float(max(total, 1)))))
+    fit = saved(cells.withColumn("raked", F.col("tokens") / F.lit(float(max(total, 1)))))
     if not total:
         return fit, 0.0
-    goals = {}
     for m, t in targets.items():
         live = cells.filter("tokens > 0").select(F.col(m).alias("_v")).distinct()
-        goals[m] = kept(_to_one(t.join(live, F.col(m).eqNullSafe(F.col("_v")), "left_semi"), m).withColumnRenamed(m, "_v"))
-        if few:
-            goals[m] = goals[m].coalesce(1)
-
-    def sums(table, m):
-        own = table.groupBy(F.col(m).alias("_k")).agg(F.sum("raked").alias("_s"))
-        return own.join(goals[m], F.col("_k").eqNullSafe(F.col("_v")), "left").select("_k", "_s", F.coalesce("target", F.lit(0.0)).alias("_t"))
+        goal = _to_one(t.join(live, F.col(m).eqNullSafe(F.col("_v")), "left_semi"), m).select(F.col(m).alias("_v"), F.col("target").alias(f"_t_{m}"))
+        fit = fit.join(goal, F.col(m).eqNullSafe(F.col("_v")), "left").drop("_v").fillna(0.0, [f"_t_{m}"])
+    fit = saved(fit)
 
+    own = fit.columns
     before, left = float("inf"), float("inf")
     for _ in range(most_rounds):
-        start = fit.coalesce(1) if few else fit
-        gaps = [sums(start, m).agg(F.max(F.abs(F.col("_s") - F.col("_t"))).alias("gap")) for m in goals]
-        before, left = left, max(r["gap"] for r in reduce(DataFrame.union, gaps).collect())  # a row per margin
-        if left <= tolerance or left >= 0.999 * before:
+        step = fit
+        for m in targets:
+            sums = step.groupBy(F.col(m).alias("_k")).agg(F.sum("raked").alias(f"_s_{m}"))
+            factor = F.when(F.col(f"_s_{m}") > 0, F.col(f"_t_{m}") / F.col(f"_s_{m}")).otherwise(0.0)
+            step = step.join(sums, F.col(m).eqNullSafe(F.col("_k"))).drop("_k").withColumn("raked", F.col("raked") * factor)
+        step = saved(step)
+        # the error that each margin had when its turn came
+        gap = F.greatest(F.lit(0.0), *[F.max(F.abs(F.col(f"_t_{m}") - F.col(f"_s_{m}"))) for m in targets])
+        before, left = left, step.agg(gap.alias("gap")).first()["gap"]
+        fit = step.select(*own)
+        if left <= tolerance or left >= STALLED * before:
             break
-        step = start
-        for m in goals:
-            factor = sums(step, m).select("_k", F.when(F.col("_s") > 0, F.col("_t") / F.col("_s")).otherwise(0.0).alias("_f"))
-            step = (step.join(factor.coalesce(1) if few else factor, F.col(m).eqNullSafe(F.col("_k")))
-                    .withColumn("raked", F.col("raked") * F.col("_f")).drop("_k", "_f"))
-        fit = kept(step)
-    return fit, left
+    return fit.drop(*[f"_t_{m}" for m in targets]), left
+
+
+def rake_few(cells: DataFrame, targets: dict[str, DataFrame] | None, alpha: float, tolerance: float = 1e-9, most_rounds: int = 10_000) -> tuple[DataFrame, float]:
+    """The same for a table whose size has been checked: its rounds need no jobs."""
+    rows = cells.collect()
+    tokens = np.array([r["tokens"] for r in rows], float)
+    raked = tokens / max(tokens.sum(), 1.0)
+    code, goal = {}, {}
+    for m in MARGINS if targets is None else targets:
+        values = {v: i for i, v in enumerate(dict.fromkeys(r[m] for r in rows))}
+        code[m] = np.array([values[r[m]] for r in rows], int)
+        have = np.bincount(code[m], tokens, len(values))
+        if targets is None:
+            want = have**alpha * (have > 0)
+        else:
+            known = targets[m].join(F.broadcast(cells.select(F.col(m).alias("_v")).distinct()), F.col(m).eqNullSafe(F.col("_v")), "left_semi").collect()
+            want = np.zeros(len(values))
+            for r in known:
+                want[values[r[m]]] = r["target"]
+            want *= have > 0
+        goal[m] = want / want.sum() if want.sum() else want
+    before, left = math.inf, math.inf
+    for _ in range(most_rounds if tokens.sum() else 0):
+        before, left = left, 0.0
+        for m, k in code.items():
+            held = np.bincount(k, raked, len(goal[m]))
+            left = max(left, float(np.abs(held - goal[m]).max()))
+            raked = raked * np.divide(goal[m], held, out=np.zeros_like(held), where=held > 0)[k]
+        if left <= tolerance or left >= STALLED * before:
+            break
+    out = [(*[r[m] for m in MARGINS], r["tokens"], float(x)) for r, x in zip(rows, raked, strict=True)]
+    kinds = dict(cells.dtypes)
+    schema = ", ".join([*[f"{m} {kinds[m]}" for m in MARGINS], "tokens bigint", "raked double"])
+    return cells.sparkSession.createDataFrame(out, schema), left if math.isfinite(left) else 0.0
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, alpha: float = 0.7, few: int = FEW_CELLS) -> tuple[DataFrame, float]:
+    """Fitted cells and the largest margin error left; a table of more than ``few`` cells stays spread."""
+    if cells.count() <= few:
+        return rake_few(cells, targets, alpha)
+    return rake_spread(cells, targets or {m: tempered(cells, m, alpha) for m in MARGINS})
 
 
 def probabilities(fit: DataFrame) -> DataFrame:
@@ -99,17 +134,16 @@ def probabilities(fit: DataFrame) -> DataFrame:
     return weighed.join(F.broadcast(top)).withColumn("chance", F.when(F.col("tokens") > 0, F.col("weight") / F.col("_top")).otherwise(F.lit(1.0))).drop("_all", "_top")
 
 
-def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, alpha: float = 0.7, topic: Column | None = None, seed: int = 8) -> DataFrame:
+def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, alpha: float = 0.7, topic: Column | None = None, seed: int = 8, few: int = FEW_CELLS) -> DataFrame:
     """Every document as ``own`` (a struct of its columns) with doc_id, source, lang, ``topic``, ``n_tokens``,
     ``weight``, ``chance`` and ``sampled``."""
     kind = form_topic(F.col("text")) if topic is None else topic
     rows = with_own(docs.withColumn("_topic", kind), "doc_id", "source", "lang", "text", "_topic").withColumnRenamed("_topic", "topic")
     rows = rows.withColumn("own", F.col("own").dropFields("_topic")).withColumn("n_tokens", n_tokens(F.col("text")))
     cells = saved(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")))
-    targets = targets or {m: tempered(cells, m, alpha) for m in MARGINS}
-    fit, _ = rake(cells, targets)
+    fit, _ = rake(cells, targets, alpha, few)
     chances = saved(probabilities(fit).select(*[F.col(m).alias(f"_{m}") for m in MARGINS], "weight", "chance"))
-    if chances.count() <= FEW_CELLS:
+    if chances.count() <= few:
         chances = F.broadcast(chances)
     match = F.lit(True)
     for m in MARGINS:
