@@ -169,7 +169,8 @@ def perplexities(docs: DataFrame, table: DataFrame, keep: list[str], most: int =
 def quality(docs: DataFrame, trusted_ids: DataFrame, q: float = QUANTILE, most: int = HEAD) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity, threshold (of the language) and keep of every document."""
     trusted = trusted_ids.select("doc_id").dropna().distinct().withColumn("trusted", F.lit(True))
-    marked = docs.select("doc_id", "text").join(trusted, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    # the same join at every size: the texts are dealt by id once, and a table of ids is never sent to all tasks
+    marked = docs.select("doc_id", "text").join(trusted.hint("merge"), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
     counts = saved(gram_counts(marked))
     table = saved(counts.select("gram", "n_all").join(log_probabilities(counts, model_tables(counts)), "gram"))
     scored = saved(perplexities(docs, table, ["doc_id", "lang"], most))
