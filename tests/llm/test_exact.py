@@ -8,9 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from celltable.llm import hilbert, suffix_overlap, url_cascade
+from celltable.llm import hilbert, jaccard_join, suffix_overlap, url_cascade
 from celltable.llm.ball_tree import build_tree, scores, top_k
-from celltable.llm.jaccard_join import frequency_class, index_entries, jaccard_groups, one_of_each, prefix_length
+from celltable.llm.jaccard_join import common_counts, frequency_class, index_entries, jaccard_groups, one_of_each, prefix_length, spanning_links
 from celltable.llm.substring_dedup import ladder, remove_repeats
 from celltable.llm.words import from_planes, pack, planes, split_words, text_bytes, unpack, windows, byte_classes, lower_table
 
@@ -96,8 +96,11 @@ def brute_groups(rows, size, percent):
     return sorted(((i, len(s), None if i is None else root(i)) for i, s in sets), key=repr)
 
 
-@pytest.mark.parametrize("size,percent,rare", [(3, 90, 256), (5, 80, 2)])
-def test_groups(spark, edge, edge_rows, size, percent, rare):
+@pytest.mark.parametrize("size,percent,rare,chunk", [(3, 90, 256, 240), (5, 80, 2, 7)])
+def test_groups(spark, edge, edge_rows, monkeypatch, size, percent, rare, chunk):
+    for name, value in (("CHUNK", chunk), ("HALF", chunk), ("CENTRES", 2), ("BAG_ROWS", 20)):
+        monkeypatch.setattr(jaccard_join, name, value)
+
     def near(base, seed, edits):
         r, w = __import__("random").Random(seed), base.split()
         for k in r.sample(range(len(w)), edits):
@@ -140,6 +143,19 @@ def test_every_similar_pair_shares_an_index_entry():
     assert prefix_length(np.array([1, 2, 10]), 90).tolist() == [1, 2, 3]
 
 
+def test_counts_and_spanning_links():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 300, 80).astype(np.uint64)) for _ in range(9)]
+    got = common_counts(sets[:4], sets, width=50)
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(4) for j in range(9))
+    ids = np.array([10, 20, 30, 40, 50])
+    m = np.zeros((5, 5), bool)
+    for i, j in ((4, 3), (3, 2), (0, 1)):
+        m[i, j] = m[j, i] = True
+    a, b = spanning_links(ids, m)
+    assert dict(zip(a.tolist(), b.tolist(), strict=True)) == {20: 10, 40: 30, 50: 30}
+
+
 def brute_overlap(rows, items):
     tests = defaultdict(set)
     for i, t in items:
