@@ -1,10 +1,12 @@
 """Fitted operators: gradients, closed forms, brute force and held-out accuracy."""
 
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -162,6 +164,36 @@ def test_raking_reaches_given_margins(spark):
             assert all(abs(sum(r.raked for r in rows if r[m] == k) - t) < 2 * most for k, t in v)
 
 
+def test_raking_of_nearly_monolingual_sources(spark):
+    r, rows = random.Random(5), []
+    for s in range(20):
+        for k in range(4):
+            for t in range(5):
+                n = r.randrange(1000, 50_000)
+                rows.append((f"s{s}", f"l{k}", f"t{t}", n if k == s % 4 else max(1, int(n * r.uniform(0.001, 0.003) / 3))))
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens bigint")
+    for few in (1000, 10):  # on the driver, and spread
+        fit, left = raking.rake(cells, few=few)
+        got = fit.collect()
+        assert left <= raking.TOLERANCE and len(got) == 400
+        for m in raking.MARGINS:
+            have, mass = Counter(), Counter()
+            for x in got:
+                have[x[m]] += x.tokens
+                mass[x[m]] += x.raked
+            root = sum(v**0.7 for v in have.values())
+            assert all(abs(mass[k] * root / v**0.7 - 1) < 1e-6 for k, v in have.items()), (few, m)
+
+
+def test_raking_tells_what_it_misses(spark):
+    df = spark.createDataFrame([document(1, "a " * 30, "x", "p"), document(2, "a " * 70, "y", "q")], SCHEMA)
+    goal = {"source": [("p", 0.5), ("q", 0.5)], "lang": [("x", 0.8), ("y", 0.2)]}
+    targets = {m: spark.createDataFrame(v, f"{m} string, target double") for m, v in goal.items()}
+    with pytest.warns(UserWarning, match="off its target"):
+        got = raking.mixed(df, targets).collect()
+    assert len(got) == 2 and all(abs(x.margin_error - 0.3) < 1e-6 for x in got)
+
+
 def test_pipeline(spark, tmp_path):
     docs = corpus(400, bad=set(range(0, 400, 4)))
     passage = " ".join(f"q{i}" for i in range(30))
