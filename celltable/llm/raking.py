@@ -8,6 +8,9 @@ Targets are shares of tokens per margin value.  Without given ones, a margin is
 Up to ``FEW_CELLS`` cells (counted first) are raked on the driver; more stay in a table, where a round is one
 aggregation and one join per margin.  Both ways give the same shares.
 
+The topic is the given column, else the table's own ``topic``; a table without one is mixed by form of text
+(``form_topic``) instead, which balances no subjects.
+
 Rules: NULL is a value of its own in every margin.  Target values without tokens are left out and the rest scaled up;
 margin values without a target get none of the mix, so probability 0.  Documents without tokens take their cell's
 probability.  A cell with no tokens at all has probability 1.  Draws hash the id, the text and the seed: repeated rows
@@ -39,7 +42,7 @@ def n_tokens(text: Column) -> Column:
 
 
 def form_topic(text: Column) -> Column:
-    """A topic by form, for tables that bring none: what kind of text it is."""
+    """A stand-in for tables without a topic column: the form of a text, not its subject."""
     size = F.coalesce(F.length(text), F.lit(0))
     bars = size - F.length(F.replace(text, F.lit("|"), F.lit("")))
     return (F.when(bars * 40 > size, "table").when(F.coalesce(text.rlike(r"(?s)[%&$#*]{3}"), F.lit(False)), "marked")
@@ -218,8 +221,9 @@ def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, alpha: f
     ``weight``, ``chance`` and ``sampled``, and ``margin_error``: how far the expected mix stays off a target at most.
 
     Targets that the cells cannot meet also give a warning."""
-    kind = form_topic(F.col("text")) if topic is None else topic
-    rows = with_own(docs.withColumn("_topic", kind), "doc_id", "source", "lang", "text", "_topic").withColumnRenamed("_topic", "topic")
+    if topic is None:
+        topic = F.col("topic") if "topic" in docs.columns else form_topic(F.col("text"))
+    rows = with_own(docs.withColumn("_topic", topic), "doc_id", "source", "lang", "text", "_topic").withColumnRenamed("_topic", "topic")
     rows = rows.withColumn("own", F.col("own").dropFields("_topic")).withColumn("n_tokens", n_tokens(F.col("text")))
     cells = saved(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")))
     fit, left = rake(cells, targets, alpha, few)

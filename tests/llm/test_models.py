@@ -185,6 +185,15 @@ def test_raking_of_nearly_monolingual_sources(spark):
             assert all(abs(mass[k] * root / v**0.7 - 1) < 1e-6 for k, v in have.items()), (few, m)
 
 
+def test_raking_by_the_topic_of_the_table(spark):
+    rows = [(1, "a b", "en", "s", "law"), (2, "a " * 8, "en", "s", "art"), (3, "b", "en", "s", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, topic string")
+    got = {r.doc_id: r for r in raking.mixed(df, alpha=0.0).collect()}
+    assert {i: r.topic for i, r in got.items()} == {1: "law", 2: "art", 3: None}
+    assert all(abs(r.n_tokens * r.weight - 11 / 3) < 1e-6 for r in got.values())
+    assert {r.topic for r in raking.mixed(df.drop("topic")).collect()} == {"note"}
+
+
 def test_raking_tells_what_it_misses(spark):
     df = spark.createDataFrame([document(1, "a " * 30, "x", "p"), document(2, "a " * 70, "y", "q")], SCHEMA)
     goal = {"source": [("p", 0.5), ("q", 0.5)], "lang": [("x", 0.8), ("y", 0.2)]}
