@@ -4,7 +4,7 @@ Metadata columns are quantised to a few bits each, at edges that halve the rows
 on the curve orders the rows, and equal runs of that order are the shards.  Neighbours on the curve are close in every
 dimension, so each shard covers a small box and its files' minimum and maximum prune on all dimensions.
 
-Rules: a NULL value takes code 0.  Text columns are compared by their first seven bytes.  Rows of one cell are ordered
+Rules: a NULL value takes code 0.  Text columns are compared by all their bytes.  Rows of one cell are ordered
 by the tie columns, so a cell that holds a third of all rows is cut like any other run.  An empty table gives an empty
 result.  Repeated rows take neighbouring places.
 """
@@ -16,23 +16,40 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from celltable.llm.store import quoted, saved
 
 
-def ordered_number(c: Column, kind: str) -> Column:
-    """A number in the order of the values: text goes by its first seven bytes."""
-    if kind == "string":
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("bigint")
-    return c.cast("double")
+def ordered(c: Column, kind: str) -> Column:
+    """The value to compare by: the bytes of a whole text, or a number."""
+    return c.cast("binary") if kind == "string" else c.cast("double")
 
 
-def edges(df: DataFrame, dims: list[str], bits: int, accuracy: int = 10_000) -> list[list[float]]:
-    """For each dimension, up to 2^bits - 1 cut values of about equal row counts: one bounded sketch per dimension."""
+def text_edges(df: DataFrame, dim: str, bits: int) -> list[bytes]:
+    """Up to 2^bits - 1 whole texts that cut the rows into about equal counts: counts per distinct text, summed up in order."""
+    value = ordered(F.col(quoted(dim)), "string").alias("value")
+    counts = df.select(value).filter("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    laid = saved(counts.repartitionByRange("value").withColumn("part", F.spark_partition_id()))
+    every = Window.orderBy("part")
+    parts = laid.groupBy("part").agg(F.sum("n").alias("held"))
+    parts = parts.select(F.col("part"), (F.sum("held").over(every) - F.col("held")).alias("before"),
+                         F.sum("held").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
+    # one row per part of the range partitioning
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("value"))
+    summed = laid.join(F.broadcast(parts), "part").withColumn("upto", upto)
+    first, last = F.expr(f"(upto - n) * {1 << bits} div total"), F.expr(f"upto * {1 << bits} div total")
+    found = summed.filter((first < last) & (first < (1 << bits) - 1)).select("value").collect()  # at most one per cut
+    return sorted(bytes(r["value"]) for r in found)
+
+
+def edges(df: DataFrame, dims: list[str], bits: int, accuracy: int = 10_000) -> list[list]:
+    """For each dimension, up to 2^bits - 1 cut values of about equal row counts: one bounded sketch per number."""
     kinds, cells = dict(df.dtypes), 1 << bits
     probs = [i / cells for i in range(1, cells)]
-    found = df.agg(*[F.percentile_approx(ordered_number(F.col(quoted(d)), kinds[d]), probs, accuracy) for d in dims]).first()
-    return [sorted(set(x or [])) for x in found]
+    numbers = [d for d in dims if kinds[d] != "string"]
+    found = df.agg(*[F.percentile_approx(ordered(F.col(quoted(d)), kinds[d]), probs, accuracy) for d in numbers]).first() if numbers else ()
+    cuts = dict(zip(numbers, found, strict=True))
+    return [sorted(set(cuts[d] or [])) if d in cuts else text_edges(df, d, bits) for d in dims]
 
 
-def quantised(c: Column, kind: str, cuts: list[float]) -> Column:
-    value = ordered_number(c, kind)
+def quantised(c: Column, kind: str, cuts: list) -> Column:
+    value = ordered(c, kind)
     if not cuts:
         return F.lit(0)
     below = F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda e: e < value))

@@ -1,6 +1,7 @@
 """Operators with an exact definition against brute force, on rows with every edge case."""
 
 import itertools
+import random
 import re
 from collections import defaultdict
 
@@ -222,6 +223,19 @@ def test_shards(spark, edge, empty):
     assert hilbert.shard_documents(empty).count() == 0
 
 
+def test_sources_with_one_beginning_get_their_own_codes(spark):
+    r = random.Random(3)
+    names = [f"common_crawl_{i}" for i in range(20)] + ["https://a.example/é", "https://a.example/z", None, ""]
+    values = [r.choice(names) for _ in range(3000)]
+    df = spark.createDataFrame([(v,) for v in values], "source string")
+    (cuts,) = hilbert.edges(df, ["source"], 5)
+    known = sorted(v.encode() for v in values if v is not None)
+    want = sorted({known[-(-i * len(known) // 32) - 1] for i in range(1, 32)})
+    assert cuts == want and len(cuts) >= 20
+    got = df.select("source", hilbert.quantised(F.col("source"), "string", cuts).alias("code")).distinct().collect()
+    assert {x.source: x.code for x in got} == {v: 0 if v is None else sum(c < v.encode() for c in want) for v in set(values)}
+
+
 def test_urls(spark):
     urls = [(1, "http://a.Example.NET/en/x?q"), (2, "https://example.net"), (3, "http://net/"), (4, "no scheme"), (5, None), (6, "http://evil.com#x"), (7, "http://x.evil.com/fr/?a"),
             (8, "http://b.org/fr/1"), (9, "x://"), (10, "http://notexample.com/de/"), (11, "http://example.com/de/"), (11, "http://example.com/de/"), (12, "http://example.net/en"), (None, "http://evil.com/")]
