@@ -15,6 +15,7 @@ from celltable.llm.kneser_ney import quality
 from celltable.llm.raking import mixed
 from celltable.llm.substring_dedup import remove_repeats
 from celltable.llm.suffix_overlap import contaminated, n_hit, with_overlaps
+from celltable.llm.turn_repair import damaged, repair
 from celltable.llm.url_cascade import url_filter, url_parts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,6 +158,57 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"))
 
 
+def _repair_sql() -> str:
+    """The cheapest edits by one recursion over the rows: for each last role (none, system, user, assistant) the least
+    (cost, audit), with the text that it leaves."""
+    def plus(state: str, cost: str, edit: str, line: str = "''") -> str:
+        return f"struct_pack(c := {state}.c + {cost}, a := {state}.a || '{edit}', r := {state}.r || {line})"
+
+    never = "struct_pack(c := 1000000000::bigint, a := '', r := '')"
+    user, assistant, own = "chr(10) || 'user:'", "chr(10) || 'assistant:'", "chr(10) || role || ':' || text"
+    put = {2: user, 3: assistant}
+
+    def when(test: str, state: str) -> str:
+        return f"case when {test} then {state} else {never} end"
+
+    def least(*states: str) -> str:
+        return f"least({', '.join(states)})"
+
+    deleted = {k: plus(f"c{k}", "3", "D") for k in range(4)}
+    kept = {1: [when("not must and initial = 's'", plus("c0", "cut", "K", own))], 2: [when("not must and initial = 'u'", plus(f"c{k}", "cut", "K", own)) for k in (0, 1, 3)],
+            3: [when("not must and initial = 'a'", plus("c2", "cut", "K", own))]}
+    reroled = {to: [when("not must", plus(f"c{k}", "2 + cut", "R", f"{put[to]} || text")) for k in ks] for to, ks in ((2, (0, 1, 3)), (3, (2,)))}
+    moved = ", ".join(f"{least(deleted[k], *kept.get(k, []), *reroled.get(k, []))} as b{k}" for k in range(4))
+    opened = f"select *, b0 as c0, b1 as c1, {least('b2', *[plus(f'b{k}', '2', 'I', user) for k in (0, 1, 3)])} as c2 from walk"
+    closed = f"select *, {least('b3', plus('c2', '2', 'I', assistant))} as c3 from opened"
+    opened, closed = opened.replace(" from walk", " from {}"), closed.replace(" from opened", " from ({})")
+    return f"""with recursive crc as (select list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, i: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end)) as t),
+keyed as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, xor(list_reduce(list_concat([4294967295], list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''),
+  lambda ch: ascii(ch)::bigint)), lambda a, b: xor(a // 256, t[xor(a, b) % 256 + 1])), 4294967295) % 20 as kind from conversations, crc),
+hurt as (select conv_id, turn, case when kind = 4 then 'user' else role end as role, case when kind = 1 then '' when kind = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from (select * from keyed where kind > 0 union all select * from keyed where kind = 3)),
+placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as core from hurt),
+faulty as (select *, left(role, 1) as initial, case when core = '' then 'blank' when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate'
+  when right(core, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault from placed),
+rows as (select conv_id, i, role, text, initial, fault in ('blank', 'duplicate') as must, (fault = 'truncated')::bigint as cut from faulty),
+sums as (select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where fault = 'blank') as blank, count(*) filter (where fault = 'duplicate') as duplicate,
+  count(*) filter (where fault = 'truncated') as truncated, count(*) filter (where prior is not null and prior || initial not in ('su', 'ua', 'au')) as illegal
+  from (select *, lag(initial) over (partition by conv_id order by i) as prior from faulty) group by conv_id),
+walk as (select conv_id, 0::bigint as i, struct_pack(c := 0::bigint, a := '', r := '') as b0, {never} as b1, {never} as b2, {never} as b3 from sums
+  union all select conv_id, i, b0, b1, b2, b3 from (select conv_id, next as i, {moved} from (select w.*, r.* exclude (conv_id, i), r.i as next from ({closed.format(opened.format("walk"))}) w
+    join rows r on r.conv_id is not distinct from w.conv_id and r.i = w.i + 1) s) t),
+ends as (select s.*, least(b0, c3) as best from sums s join ({closed.format(opened.format("walk"))}) w on s.conv_id is not distinct from w.conv_id and s.n = w.i)
+select o.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  coalesce(best.c, 0) as cost, coalesce(best.a, '') as audit, sha256(coalesce(substr(best.r, 2), '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join ends e on o.conv_id is not distinct from e.conv_id"""
+
+
+@query("op12_turn_repair", _repair_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repair(damaged(table(spark, sf_dir, "conversations")))
+    return found.withColumn("repaired_sha256", F.sha2("repaired", 256)).drop("repaired")
+
+
 @query("op8_raking")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "chance", "sampled")
