@@ -12,6 +12,7 @@ from celltable.llm.ball_tree import top_k
 from celltable.llm.hilbert import shard_documents
 from celltable.llm.jaccard_join import jaccard_groups
 from celltable.llm.kneser_ney import quality
+from celltable.llm.phrases import collocations
 from celltable.llm.raking import mixed
 from celltable.llm.substring_dedup import remove_repeats
 from celltable.llm.suffix_overlap import contaminated, n_hit, with_overlaps
@@ -209,6 +210,25 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("repaired_sha256", F.sha2("repaired", 256)).drop("repaired")
 
 
+_PHRASES_SQL = """with pieces as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as p from documents),
+words as (select lang, regexp_extract_all(p, '[^\\x20\\x09]+') as w from pieces),
+totals as (select lang, sum(len(w))::bigint as n from words group by lang),
+grams as (select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from words, (select unnest(range(1, 6)) as k) where len(w) >= k)),
+f as (select lang, k as size, phrase, count(*) as a from grams group by all having count(*) >= 100),
+cuts as (select f.lang, f.phrase, f.a, n, c, l.a as l, r.a as r, (1000::hugeint * f.a * n // (l.a::hugeint * r.a))::bigint as score from
+  (select *, unnest(range(1, size)) as c, string_split(phrase, ' ') as w from f where size > 1) f join totals using (lang)
+  join f l on l.lang = f.lang and l.phrase = array_to_string(w[1:c], ' ') join f r on r.lang = f.lang and r.phrase = array_to_string(w[c + 1:], ' ')),
+best as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, c) = 1),
+nested as (select distinct b.lang, b.phrase from best b join f on f.lang = b.lang and f.a >= b.a and len(f.phrase) > len(b.phrase) and contains(' ' || f.phrase || ' ', ' ' || b.phrase || ' '))
+select lang, rank, phrase, a, l, r, n, score from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank
+  from (select * from best anti join nested using (lang, phrase))) where rank <= 2000"""
+
+
+@query("op13_phrase_parsing", _PHRASES_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 @query("op8_raking")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "chance", "sampled")
