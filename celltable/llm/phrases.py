@@ -256,25 +256,30 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         prints, counts, _, _ = b.longer(total > 0, number, longest)
         return _asked(b.number, shards, prints, counts, (often, *ones, X.bits(total > 0), X.bits(spell), total[spell]))
 
-    def spelled(table, got):
+    def chosen(table, got):
+        """The phrases that this block is to spell, as numbers of its lexicon."""
         b = _Block(table, overlap)
         total, spell, (often, word_bits, word_total, pairs_often, pair_bits, pair_total) = _totals(got)
-        often = X.from_bits(often, len(b.prints))
-        words, langs = b.row["words"], b.row["langs"]
-        of = from_planes(b.row["word_lang"], np.uint32)
         one = np.flatnonzero(X.from_bits(word_bits, len(b.prints)))
-        _, _, first, number = b.pairs(often)
+        _, _, first, number = b.pairs(X.from_bits(often, len(b.prints)))
         two = first[np.flatnonzero(X.from_bits(pair_bits, len(first)))]
         _, _, at, size = b.longer(X.from_bits(pairs_often, len(first)), number, longest)
         ids = [[i] for i in one.tolist()] + [b.ids[a:a + k].tolist() for a, k in zip([*two.tolist(), *at[spell].tolist()], [2] * len(two) + size[spell].tolist())]
-        return pa.table({"lang": pa.array([langs[of[i[0]]] for i in ids], pa.string()), "size": pa.array([len(i) for i in ids], pa.int32()),
-                         "phrase": pa.array([" ".join(words[k] for k in i) for i in ids], pa.string()),
+        return pa.table({"block": pa.array([b.number] * len(ids), pa.int64()), "ids": pa.array(ids, pa.list_(pa.int64())),
                          "f": pa.array(np.concatenate([word_total, pair_total, total[spell]]).astype(np.int64))})
 
+    def spelled(table, got):
+        row, ids = table.to_pylist()[0] if len(table) else {}, got["ids"].to_pylist()
+        of = from_planes(row["word_lang"], np.uint32) if row else None
+        return pa.table({"lang": pa.array([row["langs"][of[i[0]]] for i in ids], pa.string()), "size": pa.array([len(i) for i in ids], pa.int32()),
+                         "phrase": pa.array([" ".join(row["words"][k] for k in i) for i in ids], pa.string()), "f": got["f"]})
+
     got = _answered(narrow.groupBy("block").applyInArrow(ask_words, X.ASKED), least, tasks)
     for ask in (ask_pairs, ask_longer):
         got = _answered(both(narrow, got, ask, X.ASKED), least, tasks)
-    found = both(blocks.drop("n").repartition(tasks, "block"), got, spelled, "lang string, size int, phrase string, f bigint")
+    numbers = both(narrow, got, chosen, "block bigint, ids array<bigint>, f bigint")
+    lexicons = blocks.select("block", "langs", "words", "word_lang").repartition(tasks, "block")
+    found = both(lexicons, numbers, spelled, "lang string, size int, phrase string, f bigint")
     totals = blocks.select(F.explode(F.arrays_zip("langs", "n")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.n").alias("n"))
     return saved(found), totals
 
