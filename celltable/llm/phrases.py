@@ -31,6 +31,7 @@ from celltable.llm.store import ready, saved
 from celltable.llm.words import from_planes, lower_table, mix, pack, pieces, planes, split_words, text_bytes, unpack
 
 LEAST, LONGEST, TOP, TRIGGER = 100, 5, 2000, 16
+SHARES = 64
 BLOCK_BYTES, BLOCKS_A_TASK = 8 << 20, 4
 
 _ENDS = np.zeros(256, bool)
@@ -309,6 +310,9 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     inner = inner.select("lang", _part(F.col("at"), F.col("k")).alias("phrase"), "f").groupBy("lang", "phrase").agg(F.max("f").alias("around"))
     kept = scored.join(inner, ["lang", "phrase"], "left").filter("around is null or around < a")
     kept = kept.select("lang", "phrase", "a", "m.l", "m.r", "n", "m.score")
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
+    best = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    # first within shares of a language, so that the last step sees SHARES * top rows of it at most
+    share = F.pmod(F.xxhash64("phrase"), F.lit(SHARES))
+    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang", share).orderBy(*best))).filter(F.col("rank") <= top)
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best))).filter(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
