@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 import corpus_pipeline
 from celltable.llm import byte_gru, text_cnn
 from celltable.llm.ball_tree import top_k
+from celltable.llm.brown_classes import scored
 from celltable.llm.hilbert import shard_documents
 from celltable.llm.jaccard_join import jaccard_groups
 from celltable.llm.kneser_ney import quality
@@ -229,6 +230,11 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+@query("op11_brown_classes")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(table(spark, sf_dir, "documents"), crc_of("doc_id", 7) == 2)
+
+
 @query("op8_raking")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "chance", "sampled")

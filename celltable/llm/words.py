@@ -175,7 +175,7 @@ def unpack(blob: bytes, dtype) -> np.ndarray:
 def planes(values: np.ndarray) -> bytes:
     """Integers in any order as byte planes."""
     values = np.ascontiguousarray(values)
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T).tobytes()
 
 
 def from_planes(blob: bytes, dtype) -> np.ndarray:
