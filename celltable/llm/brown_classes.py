@@ -35,7 +35,7 @@ from celltable.llm.store import ready
 from celltable.llm.words import byte_classes, from_planes, lower_table, pack, pieces, planes, split_words, text_bytes, unpack
 
 VOCABULARY, CLASSES, ROUNDS, DISCOUNT = 1 << 13, 64, 12, 0.5
-BLOCK_BYTES, BLOCKS_A_TASK = 8 << 20, 4
+BLOCK_BYTES, SHARD_BYTES, BLOCKS_A_TASK = 4 << 20, 8 << 20, 4
 END, LN10 = 0, math.log(10)
 
 _BLOCK = [("block", pa.int64()), ("bytes", pa.int64()), ("doc_id", pa.list_(pa.int64())), *[(c, pa.binary()) for c in ("held", "sizes", "ids", "prints")]]
@@ -61,6 +61,12 @@ def text_blocks(docs: DataFrame, held_out: Column, block_bytes: int) -> DataFram
     return rows.mapInArrow(run, _BLOCK_SQL)
 
 
+def one_by_one(batch: pa.RecordBatch):
+    """Rows as dictionaries; only one block is in Python's memory at a time."""
+    for i in range(len(batch)):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 class Block:
     """Tokens of a block's texts, one end behind each text; ``lexicon`` numbers of words, -1 for ends."""
 
@@ -69,9 +75,9 @@ class Block:
         self.prints = unpack(row["prints"], np.uint64)
         self.size = from_planes(row["sizes"], np.uint32).astype(np.int64)
         self.held = X.from_bits(row["held"], len(self.size))
-        ids = from_planes(row["ids"], np.uint32).astype(np.int64)
+        ids = from_planes(row["ids"], np.uint32)
         self.first = np.concatenate([[0], np.cumsum(self.size + 1)])
-        self.word = np.full(self.first[-1], -1)
+        self.word = np.full(self.first[-1], -1, np.int32)
         inside = np.ones(self.first[-1], bool)
         inside[self.first[1:] - 1] = False
         self.word[inside] = ids
@@ -83,12 +89,12 @@ class Block:
 
     def classes(self, of: np.ndarray) -> np.ndarray:
         """Class of every token; the end is END."""
-        return np.where(self.word < 0, END, np.append(of, END)[self.word])
+        return np.append(of, END).astype(np.int32)[self.word]
 
 
 def before(cls: np.ndarray) -> np.ndarray:
     """The token before each; an end stands before the first."""
-    return np.concatenate([[END], cls[:-1]]) if len(cls) else cls
+    return np.concatenate([np.full(1, END, cls.dtype), cls[:-1]]) if len(cls) else cls
 
 
 def lookup(known: np.ndarray, values: np.ndarray, keys: np.ndarray, missing: int) -> np.ndarray:
@@ -157,13 +163,14 @@ def contexts(blocks: DataFrame, number: int, top: np.ndarray) -> DataFrame:
 
     def pairs(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in one_by_one(batch):
                 b = Block(row)
                 line = b.classes(lookup(top, np.arange(1, len(top) + 1), b.prints, wide - 1))
                 prior, rows = before(line), []
                 for side, (w, c) in enumerate(((line, prior), (prior, line))):
                     use = b.train & (w > 0) & (w < wide - 1)
-                    key, n = np.unique(((w[use] % shards * wide + w[use]) * 2 + side) * wide + c[use], return_counts=True)
+                    own = w[use].astype(np.int64)
+                    key, n = np.unique(((own % shards * wide + own) * 2 + side) * wide + c[use], return_counts=True)
                     cut = np.searchsorted(key, np.arange(shards + 1) * 2 * wide * wide)
                     rows += [{"shard": s, "part": (b.number ^ b.number >> 32) & 0x7FFFFFFF, "keys": pack(key[cut[s]:cut[s + 1]].astype(np.uint64)), "n": planes(n[cut[s]:cut[s + 1]].astype(np.uint64))} for s in np.flatnonzero(np.diff(cut)).tolist()]
                 yield pa.RecordBatch.from_pylist(rows, schema)
@@ -319,7 +326,7 @@ def _top(blocks: DataFrame, shards: int, tasks: int, most: int) -> tuple[np.ndar
     """Fingerprints, sorted, and counts of the most frequent training words."""
     def ask(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in one_by_one(batch):
                 b = Block(row)
                 n = b.counts()
                 shard = (b.prints % np.uint64(shards)).astype(np.int64)
@@ -359,7 +366,7 @@ def fitted(docs: DataFrame, held_out: Column, vocabulary: int = VOCABULARY, clas
 
     blocks = stored(text_blocks(docs, held_out, block_bytes), "blocks")
     number, size = blocks.agg(F.count(F.lit(1)), F.sum("bytes")).first()
-    shards = max(1, math.ceil((size or 0) / block_bytes))
+    shards = max(1, math.ceil((size or 0) / block_bytes * BLOCK_BYTES / SHARD_BYTES))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(number / BLOCKS_A_TASK))
     k = classes + 1
 
@@ -385,7 +392,7 @@ def fitted(docs: DataFrame, held_out: Column, vocabulary: int = VOCABULARY, clas
 def _outside(batches, top: np.ndarray):
     """Bigrams of the end (0) and the words outside the vocabulary (1)."""
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in one_by_one(batch):
             b = Block(row)
             kind = b.classes(lookup(top, np.full(len(top), 2), b.prints, 1))
             prior = before(kind)
@@ -406,7 +413,7 @@ def _placed(blocks: DataFrame, top: np.ndarray, of: np.ndarray, near: np.ndarray
 
     def ask(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in one_by_one(batch):
                 b = Block(row)
                 cls = lookup(top, of[1:-1], b.prints, wide - 1)
                 rare = np.flatnonzero(cls == wide - 1)
@@ -499,7 +506,7 @@ def scores(coded: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of every text."""
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in one_by_one(batch):
                 b = Block(row)
                 count, cls = from_planes(row["count"], np.uint64).astype(np.int64), from_planes(row["cls"], np.uint16).astype(np.int64)
                 ends = int(model.tokens[END])
