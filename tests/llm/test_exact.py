@@ -293,3 +293,54 @@ def test_tree_bounds_hold():
     assert walk(build_tree(pts)) == 1000
     big = np.full((1, 2), 2**30, np.int64)
     assert scores(big, big)[0, 0] == 2**61
+
+
+def entries_of(n, percent=80):
+    h = np.random.default_rng(n).choice(1 << 40, n, replace=False).astype(np.uint64)
+    return index_entries(np.zeros(n, np.int64), h, np.full(n, 200, np.uint8), np.array([n]), percent, 32)
+
+
+def test_entries_grow_as_the_shingles():
+    per = [len(entries_of(n)[0]) / n for n in (300, 1000, 3000, 20_000)]
+    assert max(per) < 1.5 and max(per) < 2.5 * min(per)
+
+
+def test_frequent_sets_of_every_size_share_an_entry():
+    rng = np.random.default_rng(6)
+    for percent in (80, 90):
+        for n in (5, 9, 16, 31, 33, 63, 127, 129, 250, 260, 600):
+            base = rng.choice(1 << 40, n, replace=False).astype(np.uint64)
+            sets = [base]
+            for _ in range(8):  # some shingles less, some others in their place, some more
+                less, more = rng.integers(0, max(1, n * (100 - percent) // 150) + 1, 2)
+                sets.append(np.unique(np.concatenate([rng.choice(base, n - less, replace=False), rng.choice(1 << 40, more).astype(np.uint64)])))
+            row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            h = np.concatenate(sets)
+            r, k = index_entries(row, h, np.full(len(h), 90, np.uint8), np.array([len(s) for s in sets]), percent, 32)
+            keys = [set(k[r == i].tolist()) for i in range(len(sets))]
+            for i, j in itertools.combinations(range(len(sets)), 2):
+                common = len(np.intersect1d(sets[i], sets[j]))
+                if not len(sets[i]) == len(sets[j]) == common and 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                    assert keys[i] & keys[j]
+
+
+def test_no_group_of_unlinked_likes_is_large(spark, monkeypatch):
+    """Documents of one template that share two thirds of their shingles: none linked at 80 %, all in one cluster."""
+    counts, bag = [], jaccard_join._with_bag
+
+    def measured(groups, rows):
+        out = bag(groups, rows)
+        counts.append([r["count"] for r in out.groupBy("bag").count().collect()])
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_with_bag", measured)
+    base, r, docs = prose(500, 200, 100_000).split(), random.Random(1), []
+    for i in range(1200):
+        w = base.copy()
+        for k in r.sample(range(200), 5):
+            w[k] = f"z{i}_{k}"
+        docs.append(document(i, " ".join(w)))
+    got = jaccard_groups(spark.createDataFrame(docs, SCHEMA), 80, 5)
+    linked = got.filter("doc_id <> component_id").count()
+    assert linked < 300 and len(counts) == 2
+    assert max(max(c) for c in counts) <= 8 * jaccard_join.BAG_ROWS
