@@ -36,7 +36,7 @@ from celltable.llm.words import byte_classes, from_planes, lower_table, pack, pi
 
 VOCABULARY, CLASSES, ROUNDS, DISCOUNT = 1 << 13, 64, 12, 0.5
 BLOCK_BYTES, SHARD_BYTES, BLOCKS_A_TASK = 4 << 20, 8 << 20, 4
-END, LN10 = 0, math.log(10)
+STRETCH, END, LN10 = 1 << 17, 0, math.log(10)
 
 _BLOCK = [("block", pa.int64()), ("bytes", pa.int64()), ("doc_id", pa.list_(pa.int64())), *[(c, pa.binary()) for c in ("held", "sizes", "ids", "prints")]]
 _BLOCK_SQL = "block bigint, bytes bigint, doc_id array<bigint>, held binary, sizes binary, ids binary, prints binary"
@@ -72,7 +72,7 @@ class Block:
 
     def __init__(self, row: dict):
         self.number, self.docs = row["block"], row["doc_id"]
-        self.prints = unpack(row["prints"], np.uint64)
+        self.prints = unpack(row["prints"], np.uint64) if "prints" in row else None
         self.size = from_planes(row["sizes"], np.uint32).astype(np.int64)
         self.held = X.from_bits(row["held"], len(self.size))
         ids = from_planes(row["ids"], np.uint32)
@@ -179,24 +179,22 @@ def contexts(blocks: DataFrame, number: int, top: np.ndarray) -> DataFrame:
         key, n = added(table["keys"].to_pylist(), table["n"].to_pylist())
         return pa.Table.from_pylist([{"shard": table["shard"][0].as_py(), "part": table["part"][0].as_py(), "keys": pack(key), "n": planes(n)}], schema)
 
-    def rows(batches):
-        for batch in batches:
-            for shard in batch.to_pylist():
-                key, n = unpack(shard["keys"], np.uint64).astype(np.int64), from_planes(shard["n"], np.uint64).astype(np.int64)
-                group, c = key // wide, key % wide
-                cut = np.append(X.runs_of_equal(group), len(group))
-                out: dict[int, dict] = {}
-                for a, z in zip(cut[:-1], cut[1:]):
-                    w, side = int(group[a]) // 2 % wide, int(group[a]) % 2
-                    out.setdefault(w, {"word": w, "c0": b"", "n0": b"", "c1": b"", "n1": b""}).update({f"c{side}": c[a:z].astype(np.int32).tobytes(), f"n{side}": n[a:z].tobytes()})
-                yield pa.RecordBatch.from_pylist(list(out.values()), pa.schema([("word", pa.int64()), *[(f"{k}{s}", pa.binary()) for s in (0, 1) for k in "cn"]]))
+    def rows(table):
+        key, n = added(table["keys"].to_pylist(), table["n"].to_pylist())
+        key, n = key.astype(np.int64), n.astype(np.int64)
+        group, c = key // wide, key % wide
+        cut = np.append(X.runs_of_equal(group), len(group))
+        out: dict[int, dict] = {}
+        for a, z in zip(cut[:-1], cut[1:]):
+            w, side = int(group[a]) // 2 % wide, int(group[a]) % 2
+            out.setdefault(w, {"word": w, "c0": b"", "n0": b"", "c1": b"", "n1": b""}).update({f"c{side}": c[a:z].astype(np.int32).tobytes(), f"n{side}": n[a:z].tobytes()})
+        return pa.Table.from_pylist(list(out.values()), pa.schema([("word", pa.int64()), *[(f"{k}{s}", pa.binary()) for s in (0, 1) for k in "cn"]]))
 
     found, parts, sql = blocks.mapInArrow(pairs, "shard bigint, part bigint, keys binary, n binary"), number, "shard bigint, part bigint, keys binary, n binary"
-    while True:
-        parts = max(1, -(-parts // FAN))
+    while parts > FAN:
+        parts = -(-parts // FAN)
         found = found.withColumn("part", F.pmod("part", F.lit(parts))).groupBy("shard", "part").applyInArrow(merge, sql)
-        if parts == 1:
-            return found.mapInArrow(rows, _WORDS_SQL)
+    return found.groupBy("shard").applyInArrow(rows, _WORDS_SQL)
 
 
 def neighbours(row: dict, side: int) -> tuple[np.ndarray, np.ndarray]:
@@ -503,27 +501,32 @@ def _coded(blocks: DataFrame, answers: DataFrame, top: np.ndarray, top_n: np.nda
 
 
 def scores(coded: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of every text."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of every text.
+
+    A block is scored in stretches of texts of about STRETCH tokens, one longer text alone."""
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
+
+    def part(b: Block, count: np.ndarray, cls: np.ndarray, lo: int, hi: int) -> pa.RecordBatch:
+        word = b.word[b.first[lo]:b.first[hi]]
+        c = np.append(count, int(model.tokens[END]))[word]
+        base = np.log10((c + 1) / (model.train_tokens + model.types + 1))
+        logs = base
+        if model.train_tokens:
+            line = np.append(cls, END)[word]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                emitted = np.where(word < 0, 0.0, np.log(model.emission(line, c)))
+            logs = model.token_logs(line, emitted, c > 0) / LN10
+        add = lambda x: np.add.reduceat(x, b.first[lo:hi] - b.first[lo])
+        n, score = b.size[lo:hi] + 1, add(logs)
+        return pa.RecordBatch.from_arrays([pa.array(b.docs[lo:hi], pa.int64()), pa.array(b.held[lo:hi]), pa.array(n), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(hi - lo, model.train_tokens)),
+                                           pa.array(add(base)), pa.array(score), pa.array(10 ** (-score / n))], names)
+
     def run(batches):
         for batch in batches:
             for row in one_by_one(batch):
                 b = Block(row)
                 count, cls = from_planes(row["count"], np.uint64).astype(np.int64), from_planes(row["cls"], np.uint16).astype(np.int64)
-                ends = int(model.tokens[END])
-                c = np.where(b.word < 0, ends, np.append(count, 0)[b.word])
-                total = model.train_tokens + model.types + 1
-                base = np.log10((c + 1) / total)
-                if model.train_tokens:
-                    seen = c > 0
-                    line = b.classes(cls)
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        emitted = np.where(b.word < 0, 0.0, np.log(model.emission(line, c)))
-                    logs = model.token_logs(line, emitted, seen) / LN10
-                else:
-                    logs = base
-                add = lambda x: np.add.reduceat(x, b.first[:-1]) if len(b.docs) else np.zeros(0)
-                n, score = b.size + 1, add(logs)
-                yield pa.RecordBatch.from_arrays([pa.array(b.docs, pa.int64()), pa.array(b.held), pa.array(n), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(len(n), model.train_tokens)), pa.array(add(base)), pa.array(score), pa.array(10 ** (-score / n))],
-                                                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
-
-    return coded.mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double")
+                for lo, hi in pieces(b.first, STRETCH):
+                    yield part(b, count, cls, lo, hi)
+
+    return coded.select("block", "doc_id", "held", "sizes", "ids", "count", "cls").mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double")
