@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from celltable.operators.skew import avg_rank, has_hot_group, prefix_agg, row_index, stable
@@ -151,20 +152,166 @@ def repeat_summary(df: DataFrame, keys: list[str], value: str, ddof: int = 1) ->
                     F.when(few, F.col("mean") + F.col("sd") * 2).otherwise(F.col("_q")[1]).alias("hi"))
 
 
-def probe_grid(emb: DataFrame, labels: DataFrame, tasks: list[str], ks: list[int], folds: int) -> DataFrame:
-    """Mean and sd of the probe's AUC per task and k over folds.  Each fit is a Spark job."""
-    rows = None
-    for task in tasks:
-        data = labelled(emb, labels, task)
-        for k in ks:
-            for fold in range(folds):
-                train = k_shot(data, k, fold, "label")
-                if train.select("label").distinct().count() < 2:
-                    continue
-                scored = linear_probe(train, holdout(data, train), max_iter=200)
-                one = roc_auc(scored, "label", "score").select(
-                    F.lit(task).alias("task"), F.lit(k).alias("k"), F.lit(fold).alias("fold"), "auc")
-                rows = one if rows is None else rows.unionByName(one)
-    if rows is None:
+def k_shot_folds(labels: DataFrame, ks: list[int], folds: int, label: str = "label", keys: list[str] = ["task"], item: str = "slide_id") -> DataFrame:
+    """Training rows of every (keys, k, fold): the k first rows per class in the fold's hash order, as ``k_shot`` takes them."""
+    d = labels.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    d = d.withColumn("_h", order_key(F.col("fold"), item))
+    d = row_index(d, [*keys, label, "fold"], ["_h", item], "_i").filter(F.col("_i") < max(ks))
+    d = d.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).filter(F.col("_i") < F.col("k"))
+    return d.drop("_h", "_i")
+
+
+def fit_probes(train: DataFrame, keys: list[str], vec: str = "embedding", label: str = "label", c: float = 1.0, max_iter: int = 10000,
+               tol: float = 1e-6, max_weights: int = 4_000_000) -> dict[tuple, np.ndarray]:
+    """Logistic regressions for all values of ``keys`` in one loop of rounds: weights, the intercept last.
+
+    Minimises |w|^2 / 2 + c * log loss, intercept free, by L-BFGS with step halving.  A round is one job: tasks add up loss and
+    gradient of all open fits over their rows, and one aggregate per fit brings a vector each to the driver, which holds no
+    rows.  A fit closes when no gradient entry exceeds ``tol`` times its start (or 1).  Labels are 0 and 1; fits with
+    one class only are left out."""
+    from celltable.operators.skew import stable
+    both = train.groupBy(*keys).agg(F.min(label).alias("_lo"), F.max(label).alias("_hi")).filter("_lo <> _hi").drop("_lo", "_hi")
+    rows = stable(train.join(both, keys).select(*keys, F.col(label).cast("double").alias("_y"), F.transform(F.col(vec), lambda x: x.cast("double")).alias("_v")))
+    fits = sorted(tuple(r) for r in rows.select(*keys).distinct().collect())
+    if not fits:
+        return {}
+    size = rows.select(F.size("_v")).first()[0] + 1
+    if len(fits) * size > max_weights:
+        raise ValueError(f"{len(fits)} fits of {size} weights are more than max_weights={max_weights}: fit them in groups")
+    number = {f: i for i, f in enumerate(fits)}
+
+    def losses(w: np.ndarray, open_fits: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        live = set(open_fits)
+
+        def run(batches):
+            import pandas as pd
+            total: dict[int, np.ndarray] = {}
+            for pdf in batches:
+                for name, part in pdf.groupby(keys, sort=False):
+                    i = number[tuple(x.item() if hasattr(x, "item") else x for x in (name if isinstance(name, tuple) else (name,)))]
+                    if i not in live:
+                        continue
+                    x, y = np.array(part["_v"].tolist()), part["_y"].to_numpy()
+                    z = x @ w[i, :-1] + w[i, -1]
+                    lack = 1 / (1 + np.exp(-z)) - y
+                    total[i] = total.get(i, 0) + np.concatenate([[np.logaddexp(0, z).sum() - y @ z], lack @ x, [lack.sum()]])
+            if total:
+                yield pd.DataFrame({"fit": list(total), "g": [v.tolist() for v in total.values()]})
+
+        found = rows.mapInPandas(run, "fit int, g array<double>").select("fit", F.posexplode("g")).groupBy("fit", "pos").agg(F.sum("col").alias("x"))
+        sums = np.zeros((len(fits), size + 1))
+        for fit, pos, x in found.collect():
+            sums[fit, pos] = x
+        value = c * sums[:, 0] + 0.5 * (w[:, :-1] ** 2).sum(1)
+        grad = c * sums[:, 1:]
+        grad[:, :-1] += w[:, :-1]
+        return value, grad
+
+    w, open_fits = np.zeros((len(fits), size)), list(range(len(fits)))
+    value, grad = losses(w, open_fits)
+    start = np.maximum(1.0, np.abs(grad).max(1))
+    past: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in fits]
+    way, step = np.zeros_like(w), np.ones(len(fits))
+    for i in open_fits:
+        way[i] = -grad[i] / max(1.0, np.abs(grad[i]).sum())
+    for _ in range(max_iter):
+        open_fits = [i for i in open_fits if np.abs(grad[i]).max() > tol * start[i]]
+        if not open_fits:
+            break
+        trial = w.copy()
+        for i in open_fits:
+            trial[i] += step[i] * way[i]
+        new_value, new_grad = losses(trial, open_fits)
+        for i in list(open_fits):
+            if not new_value[i] <= value[i] + 1e-4 * step[i] * (grad[i] @ way[i]):
+                step[i] /= 2
+                if step[i] < 1e-12:  # rounding ends the descent
+                    open_fits.remove(i)
+                continue
+            s, y = trial[i] - w[i], new_grad[i] - grad[i]
+            if s @ y > 1e-12 * (y @ y):
+                past[i] = [*past[i][-9:], (s, y)]
+            w[i], value[i], grad[i], step[i] = trial[i], new_value[i], new_grad[i], 1.0
+            way[i] = _descent(grad[i], past[i])
+    return {f: w[i] for f, i in number.items()}
+
+
+def _descent(grad: np.ndarray, past: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The quasi-Newton direction from the last steps and gradient changes."""
+    q, kept = grad.copy(), []
+    for s, y in reversed(past):
+        a = (s @ q) / (s @ y)
+        q -= a * y
+        kept.append(a)
+    if past:
+        s, y = past[-1]
+        q *= (s @ y) / (y @ y)
+    for (s, y), a in zip(past, reversed(kept)):
+        q += s * (a - (y @ q) / (s @ y))
+    return -q
+
+
+def probe_scores(rows: DataFrame, weights: dict[tuple, np.ndarray], keys: list[str], keep: list[str], vec: str = "embedding") -> DataFrame:
+    """The ``keep`` columns of every row with ``score``, the probability of class 1 under the fit that its keys name.
+
+    Rows of keys without a fit are left out."""
+    types = dict(rows.dtypes)
+    order = sorted(weights)
+    number, table = {f: i for i, f in enumerate(order)}, np.array([weights[f] for f in order])
+
+    def run(batches):
+        for pdf in batches:
+            names = [number.get(tuple(x)) for x in pdf[keys].itertuples(index=False, name=None)]
+            known = np.array([n is not None for n in names], bool)
+            pdf, at = pdf[known], np.array([n for n in names if n is not None], int)
+            x = np.array(pdf[vec].tolist(), float).reshape(len(pdf), -1)
+            z = (x * table[at, :-1]).sum(1) + table[at, -1] if len(pdf) else np.zeros(0)
+            yield pdf[keep].assign(score=1 / (1 + np.exp(-z)))
+
+    return rows.select(*dict.fromkeys([*keys, *keep, vec])).mapInPandas(run, ", ".join([f"`{k}` {types[k]}" for k in keep] + ["score double"]))
+
+
+def every_score(rows: DataFrame, weights: dict[tuple, np.ndarray], keys: list[str], by: str, keep: list[str], vec: str = "embedding") -> DataFrame:
+    """The ``keep`` columns and ``score`` of every row under every fit whose ``by`` key is the row's; the other keys say which fit.
+
+    A vector goes to Python once; only numbers are multiplied by the fits."""
+    types, at = dict(rows.dtypes), keys.index(by)
+    own: dict = {}
+    for f in sorted(weights):
+        own.setdefault(f[at], []).append(f)
+    table = {k: np.array([weights[f] for f in fits]) for k, fits in own.items()}
+
+    def run(batches):
+        for pdf in batches:
+            for value, part in pdf.groupby(by, sort=False):
+                if value in table:
+                    z = np.array(part[vec].tolist(), float) @ table[value][:, :-1].T + table[value][:, -1]
+                    yield part[keep].assign(_s=(1 / (1 + np.exp(-z))).tolist())
+
+    found = rows.select(*dict.fromkeys([by, *keep, vec])).mapInPandas(run, ", ".join([f"`{k}` {types[k]}" for k in keep] + ["_s array<double>"]))
+    rest = [k for k in keys if k != by]
+    named = [(k, i, *[x for j, x in enumerate(f) if j != at]) for k, fits in own.items() for i, f in enumerate(fits)]
+    fits = rows.sparkSession.createDataFrame(named, f"`{by}` {types[by]}, _i int, " + ", ".join(f"`{k}` int" for k in rest))
+    return found.select(*keep, F.posexplode("_s").alias("_i", "score")).join(fits, [by, "_i"]).drop("_i")
+
+
+def probe_table(emb: DataFrame, labels: DataFrame, tasks: list[str], item: str = "slide_id") -> DataFrame:
+    """Labelled embeddings of all tasks in one table: item, task, label and the embedding; -1 means missing."""
+    long = labels.select(item, F.explode(F.array(*[F.struct(F.lit(t).alias("task"), F.col(t).cast("int").alias("label")) for t in tasks])).alias("_t"))
+    return emb.join(long.select(item, "_t.task", "_t.label").filter("label <> -1"), item)
+
+
+def probe_grid(emb: DataFrame, labels: DataFrame, tasks: list[str], ks: list[int], folds: int, item: str = "slide_id", vec: str = "embedding",
+               split: bool | None = None) -> DataFrame:
+    """Mean and sd of the probes' AUC per task and k over folds; all fits share the rounds of one loop.
+
+    A fold tests on the rows that it did not train on."""
+    from celltable.operators.skew import stable
+    data = stable(probe_table(emb, labels, tasks, item))
+    keys = ["task", "k", "fold"]
+    train = stable(k_shot_folds(data.select(item, "task", "label"), ks, folds, item=item).select(*keys, item, "label"))
+    weights = fit_probes(train.join(data.drop("label"), [item, "task"]), keys, vec)
+    if not weights:
         raise ValueError("no task has two classes")
-    return repeat_summary(rows, ["task", "k"], "auc")
+    scored = every_score(data, weights, keys, "task", [item, "task", "label"], vec).join(train.select(*keys, item), [*keys, item], "left_anti")
+    return repeat_summary(roc_auc(scored, "label", "score", keys, split), ["task", "k"], "auc")

@@ -348,9 +348,9 @@ def probe_data(v):
 def linear_probe(v):
     d = L.labelled(probe_data(v), v.task_labels, "er")
     train = L.k_shot(d, 25, 0, "label")
-    return L.linear_probe(train, L.holdout(d, train), max_iter=200).select("slide_id", "label", "pred", "score")
+    return L.linear_probe(train, L.holdout(d, train)).select("slide_id", "label", "pred", "score")
 
 
 @query("probe_grid", "EVL-06")
 def probe_grid(v):
-    return L.probe_grid(probe_data(v), v.task_labels, ["er", "pr"], [10], 2)
+    return L.probe_grid(probe_data(v), v.task_labels, ["er", "pr"], [1, 10, 25], 10)
