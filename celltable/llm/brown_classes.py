@@ -35,8 +35,8 @@ from celltable.llm.store import ready
 from celltable.llm.words import byte_classes, from_planes, lower_table, pack, pieces, planes, split_words, text_bytes, unpack
 
 VOCABULARY, CLASSES, ROUNDS, DISCOUNT = 1 << 13, 64, 12, 0.5
-BLOCK_BYTES, SHARD_BYTES, BLOCKS_A_TASK = 4 << 20, 8 << 20, 4
-STRETCH, END, LN10 = 1 << 17, 0, math.log(10)
+BLOCK_BYTES, SHARD_BYTES, BLOCKS_A_TASK = 2 << 20, 4 << 20, 8
+TOP_TASKS, STRETCH, END, LN10 = 16, 1 << 17, 0, math.log(10)
 
 _BLOCK = [("block", pa.int64()), ("bytes", pa.int64()), ("doc_id", pa.list_(pa.int64())), *[(c, pa.binary()) for c in ("held", "sizes", "ids", "prints")]]
 _BLOCK_SQL = "block bigint, bytes bigint, doc_id array<bigint>, held binary, sizes binary, ids binary, prints binary"
@@ -339,7 +339,8 @@ def _top(blocks: DataFrame, shards: int, tasks: int, most: int) -> tuple[np.ndar
         return pa.table({"print": key[best], "n": n[best]})
 
     counted = blocks.mapInArrow(ask, X.ASKED).repartition(tasks, "shard").groupBy("shard").applyInArrow(add, "print bigint, n bigint")
-    rows = counted.orderBy(F.desc("n"), "print").limit(most).collect()
+    # every task of the last step hands its best to the driver, so their number must not grow
+    rows = counted.repartition(TOP_TASKS, "print").orderBy(F.desc("n"), "print").limit(most).collect()
     prints, n = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
     order = np.argsort(prints)
     return prints[order], n[order]
