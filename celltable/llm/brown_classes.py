@@ -72,7 +72,7 @@ class Block:
 
     def __init__(self, row: dict):
         self.number, self.docs = row["block"], row["doc_id"]
-        self.prints = unpack(row["prints"], np.uint64) if "prints" in row else None
+        self.prints = unpack(row["prints"], np.uint64) if row.get("prints") is not None else None
         self.size = from_planes(row["sizes"], np.uint32).astype(np.int64)
         self.held = X.from_bits(row["held"], len(self.size))
         ids = from_planes(row["ids"], np.uint32)
@@ -349,12 +349,13 @@ def _top(blocks: DataFrame, shards: int, tasks: int, most: int) -> tuple[np.ndar
 def scored(docs: DataFrame, held_out: Column, vocabulary: int = VOCABULARY, classes: int = CLASSES, rounds: int = ROUNDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of every row; texts that are not
     ``held_out`` teach the model."""
-    coded, model = fitted(docs, held_out, vocabulary, classes, rounds, block_bytes)
+    coded, model = fitted(docs, held_out, vocabulary, classes, rounds, block_bytes, keep_prints=False)
     return scores(coded, model)
 
 
-def fitted(docs: DataFrame, held_out: Column, vocabulary: int = VOCABULARY, classes: int = CLASSES, rounds: int = ROUNDS, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, Model]:
-    """The texts as blocks with the count and class of each word of their lexicons, and the model."""
+def fitted(docs: DataFrame, held_out: Column, vocabulary: int = VOCABULARY, classes: int = CLASSES, rounds: int = ROUNDS, block_bytes: int = BLOCK_BYTES,
+           keep_prints: bool = True) -> tuple[DataFrame, Model]:
+    """The texts as blocks with the count and class of each word of their lexicons (and its fingerprint), and the model."""
     spark = docs.sparkSession
     ready(spark)
     folder = f"{spark.conf.get('spark.checkpoint.dir')}/classes-{uuid.uuid4().hex}"
@@ -377,7 +378,7 @@ def fitted(docs: DataFrame, held_out: Column, vocabulary: int = VOCABULARY, clas
     of, near = cluster(words, others, len(top), classes, rounds)
 
     answers = stored(_placed(blocks, top, of, near, shards, tasks, k), "placed")
-    coded = stored(_coded(blocks, answers.filter("block >= 0"), top, top_n, of, shards, tasks, k), "coded")
+    coded = stored(_coded(blocks, answers.filter("block >= 0"), top, top_n, of, shards, tasks, k, keep_prints), "coded")
     n, types, once = np.zeros((k, k)), np.bincount(of[1:-1], minlength=k).astype(float), np.bincount(of[1:-1][top_n == 1], minlength=k).astype(float)
     for (info,) in answers.filter("block < 0").select("info").toLocalIterator():
         both = np.frombuffer(info, np.int64).reshape(2, -1)
@@ -480,7 +481,7 @@ def asked_order(prints: np.ndarray, rare: np.ndarray, shards: int) -> np.ndarray
     return rare[np.lexsort((prints[rare], (prints[rare] % np.uint64(shards)).astype(np.int64)))]
 
 
-def _coded(blocks: DataFrame, answers: DataFrame, top: np.ndarray, top_n: np.ndarray, of: np.ndarray, shards: int, tasks: int, k: int) -> DataFrame:
+def _coded(blocks: DataFrame, answers: DataFrame, top: np.ndarray, top_n: np.ndarray, of: np.ndarray, shards: int, tasks: int, k: int, keep_prints: bool) -> DataFrame:
     """The blocks with the count and the class of each word, and the class bigrams of their training texts."""
     kind = pa.list_(pa.int64())
     schema = pa.schema([*_BLOCK, ("count", pa.binary()), ("cls", pa.binary()), ("pair", kind), ("n", kind)])
@@ -495,6 +496,8 @@ def _coded(blocks: DataFrame, answers: DataFrame, top: np.ndarray, top_n: np.nda
             cls[rare], count[rare] = said % 256, said // 256
         line = b.classes(cls)
         pair, n = np.unique(before(line)[b.train] * k + line[b.train], return_counts=True)
+        if not keep_prints:
+            row["prints"] = None
         return pa.Table.from_pylist([row | {"count": planes(count.astype(np.uint64)), "cls": planes(cls.astype(np.uint16)), "pair": pair.tolist(), "n": n.tolist()}], schema)
 
     both = blocks.repartition(tasks, "block").groupBy("block").cogroup(answers.repartition(tasks, "block").groupBy("block"))
