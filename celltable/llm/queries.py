@@ -114,11 +114,9 @@ def crc_of(name: str, n: int) -> Column:
 @query("op7_text_cnn")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    net = text_cnn.fit(docs, table(spark, sf_dir, "labels"), crc_of("doc_id", 5) != 0)
-    scored = text_cnn.with_score(docs, net, ["doc_id", "lang"])
-    threshold = text_cnn.threshold_of(net, F.col("lang"))
+    scored, _ = text_cnn.scored_with(docs, table(spark, sf_dir, "labels"), crc_of("doc_id", 5) != 0, ["doc_id", "lang"])
     return scored.select("doc_id", (crc_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
-                         threshold.alias("lang_threshold"), (F.col("score") >= threshold).alias("flagged"))
+                         F.col("threshold").alias("lang_threshold"), (F.col("score") >= F.col("threshold")).alias("flagged"))
 
 
 @query("op1_byte_gru")

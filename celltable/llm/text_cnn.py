@@ -3,8 +3,13 @@
 Words are hashed to buckets with an embedding each, and so are their first 5 and 7 bytes, which inflected forms share;
 a word's vector is the sum of the three.  Filters of several widths slide over the text, their largest
 response anywhere in the text is kept, and a logistic unit reads those maxima.  The network is fitted on the driver
-with Adam on a bounded sample of labelled rows; scores are then set on the scale of the whole labelled population, and
-each language gets the threshold that serves it best on rows the network was not fitted on.
+with Adam on a bounded sample of labelled rows.
+
+The scale of the scores and the thresholds come from all labelled rows that may be learnt from, texts of any size
+included: Spark scores them and counts them in histograms by language, label and score.  No row is judged by a network
+fitted on it: rows of the sample are scored by networks fitted on the other folds of the sample.  A language with
+``least`` rows of each label gets the cut with the largest F1 on its own rows, all others the cut of all rows together.  A cut lies
+above the score of a text without known words: nothing is rejected without evidence.
 
 ``FitLimits`` are the bounds of the sample: rows per label, and the size up to which a document is used for fitting.
 Scoring reads whole texts of any size.
@@ -16,21 +21,25 @@ only, every score is the share of label 1 (0.5 without rows) and nothing is flag
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from celltable.llm.sampling import balanced
-from celltable.llm.store import with_own
+from celltable.llm.store import saved, with_own
 from celltable.llm.words import byte_classes, lower_table, pieces, prefixes, split_words, text_bytes
 
 BUCKET_BITS, DIM, FILTERS, WIDTHS = 16, 8, 8, (1, 2, 3)
 PREFIXES = (5, 7)
 VIEWS = 1 + len(PREFIXES)
 PAD = max(WIDTHS) - 1
+FOLDS = 3
+BINS = 64  # histogram bins for each unit of the logit
+WIDEST = 40.0
 
 
 @dataclass(frozen=True)
@@ -46,13 +55,21 @@ def bucket_ids(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.stack([(v >> np.uint64(64 - BUCKET_BITS)).astype(np.uint16) for v in views], axis=1), words.first
 
 
-def padded(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows with PAD empty words behind each, so that no window crosses a row and empty rows have windows too."""
+def padded(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows with empty words behind each, and where the windows of a row start and end.
+
+    The last windows of a row begin at its first PAD empty words; as many more stand behind, so that none reads the
+    next row and empty rows have windows too."""
     n = np.diff(first)
-    start = first[:-1] + PAD * np.arange(len(n))
-    out = np.zeros((int(first[-1] - first[0]) + PAD * len(n), VIEWS), np.int32)
-    out[np.arange(len(ids)) + PAD * np.repeat(np.arange(len(n)), n)] = ids
-    return out, start
+    start = first[:-1] - first[0] + 2 * PAD * np.arange(len(n))
+    out = np.zeros((int(first[-1] - first[0]) + 2 * PAD * len(n), VIEWS), np.int32)
+    out[np.arange(len(ids)) + 2 * PAD * np.repeat(np.arange(len(n)), n)] = ids
+    return out, start, start + n + PAD
+
+
+def largest(responses: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Largest response of every filter in the windows of each row."""
+    return np.maximum.reduceat(responses, np.stack([start, end], axis=1).reshape(-1), axis=0)[::2]
 
 
 @dataclass
@@ -86,14 +103,25 @@ class TextCnn:
             parts.append(np.maximum(r + b, 0))
         return np.concatenate(parts, axis=1)
 
+    def logits(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Output of the network, before it is set on the scale of the labelled rows."""
+        if self.base is not None or len(first) < 2:
+            return np.zeros(len(first) - 1)
+        laid, start, end = padded(self.row_of[ids], first)
+        pooled = largest(self.responses(laid), start, end)
+        return np.clip((pooled @ self.out + self.out_bias[0]).astype(np.float64), -WIDEST, WIDEST)
+
     def scores(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        docs = len(first) - 1
-        if self.base is not None or not docs:
-            return np.full(docs, self.base if self.base is not None else 0.5)
-        laid, start = padded(self.row_of[ids], first)
-        pooled = np.maximum.reduceat(self.responses(laid), start, axis=0)
-        logit = (pooled @ self.out + self.out_bias[0]).astype(np.float64)
-        return 1 / (1 + np.exp(-np.clip(self.scale * logit + self.shift, -40, 40)))
+        if self.base is not None:
+            return np.full(len(first) - 1, self.base)
+        return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(ids, first) + self.shift, -WIDEST, WIDEST)))
+
+    def score_of(self, logit: Column) -> Column:
+        """``scores`` for a column of logits."""
+        if self.base is not None:
+            return F.lit(float(self.base))
+        z = F.greatest(F.lit(-WIDEST), F.least(F.lit(WIDEST), logit * self.scale + self.shift))
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
 class _Adam:
@@ -128,14 +156,15 @@ def fit_network(docs: list[np.ndarray], labels: np.ndarray, epochs: int = 12, ba
     net = TextCnn(row_of, emb, conv, bias, out, np.zeros(1, f))
     dense = [emb, *conv, *bias, out, net.out_bias]
     adam = _Adam(dense, rate)
-    rows = [row_of[d] for d in docs]
+    # some empty texts with the share of label 1 as their target, so that text without known words is no evidence either way
+    rows = [row_of[d] for d in docs] + [np.zeros((0, VIEWS), np.int32)] * (1 + len(docs) // 50)
+    labels = np.concatenate([labels, np.full(len(rows) - len(docs), labels.mean())]).astype(f)
     for _ in range(epochs):
         for pick in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // batch)):
             first = np.concatenate([[0], np.cumsum([len(rows[i]) for i in pick])])
-            laid, start = padded(np.concatenate([rows[i] for i in pick]), first)
+            laid, start, end = padded(np.concatenate([rows[i] for i in pick]), first)
             r = net.responses(laid)
-            ends = np.append(start[1:], len(laid))
-            place = np.stack([s + r[s:e].argmax(axis=0) for s, e in zip(start, ends, strict=True)])
+            place = np.stack([s + r[s:e].argmax(axis=0) for s, e in zip(start, end, strict=True)])
             pooled = np.take_along_axis(r, place, axis=0)
             drop = (rng.random(pooled.shape) > 0.2).astype(f) / f(0.8)
             logit = (pooled * drop) @ net.out + net.out_bias[0]
@@ -175,22 +204,24 @@ def _platt(logit: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(max(a[0], 1e-3)), float(a[1])
 
 
-def _best_threshold(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
-    """The cut with the largest weighted F1, midway to the next score below."""
-    order = np.argsort(-score, kind="stable")
-    s, hit = score[order], np.cumsum((y * weight)[order])
-    f1 = 2 * hit / (np.cumsum(weight[order]) + (y * weight).sum())
-    f1[:-1][s[:-1] == s[1:]] = -1
-    i = int(f1.argmax())
-    return float((s[i] + s[i + 1]) / 2) if i + 1 < len(s) else float(s[i])
+@dataclass
+class Fitted:
+    """A network and the logits of its own sample rows, by networks of other folds."""
 
+    net: TextCnn
+    ids: list[str]
+    unseen: np.ndarray
 
-def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, limits: FitLimits = FitLimits(), least: int = 20, seed: int = 7) -> TextCnn:
-    """Network, scale and thresholds from the labelled rows for which ``learn_from`` holds."""
-    rows = labels.filter(learn_from & F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
-    sample, share = balanced(rows, "toxic", limits.rows_per_label, F.col("doc_id"), seed)
+
+def _fold(doc_id: str, seed: int) -> int:
+    return zlib.crc32(f"{seed}:{doc_id}".encode()) % FOLDS
+
+
+def fit_sample(docs: DataFrame, labels: DataFrame, learn_from: Column, limits: FitLimits = FitLimits(), seed: int = 7) -> Fitted:
+    """The network of a bounded sample of the labelled rows for which ``learn_from`` holds."""
+    sample, _ = balanced(_usable(labels, learn_from), "toxic", limits.rows_per_label, F.col("doc_id"), seed)
     # the sample has at most 4 x rows_per_label narrow rows, whatever the size of the tables
-    texts = (docs.select("doc_id", "text", "lang").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= limits.document_bytes)
+    texts = (docs.select("doc_id", "text").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= limits.document_bytes)
              .join(F.broadcast(sample), "doc_id"))
 
     def to_ids(batches):
@@ -198,36 +229,92 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, limits: FitLimit
             ids, first = bucket_ids(*text_bytes(b["text"]))
             yield pa.RecordBatch.from_pydict({
                 "ids": pa.array([ids[a:z].tobytes() for a, z in zip(first[:-1], first[1:], strict=True)], pa.binary()),
-                "lang": b["lang"], "toxic": b["toxic"].cast(pa.int32()), "doc_id": b["doc_id"].cast(pa.string())})
+                "toxic": b["toxic"].cast(pa.int32()), "doc_id": b["doc_id"].cast(pa.string())})
 
-    got = texts.select("text", "lang", "toxic", F.col("doc_id").cast("string").alias("doc_id")).mapInArrow(to_ids, "ids binary, lang string, toxic int, doc_id string").toArrow().sort_by("doc_id")
+    got = texts.select("text", "toxic", F.col("doc_id").cast("string").alias("doc_id")).mapInArrow(to_ids, "ids binary, toxic int, doc_id string").toArrow().sort_by("doc_id")
     y = got["toxic"].to_numpy().astype(np.float32)
     if len(set(y)) < 2:
         net = TextCnn(np.zeros(1 << BUCKET_BITS, np.int32), np.zeros((1, DIM), np.float32), [], [], np.zeros(0), np.zeros(1))
         net.base, net.threshold = (float(y[0]) if len(y) else 0.5), 2.0
-        return net
+        return Fitted(net, [], np.zeros(0))
     ids = [np.frombuffer(x.as_buffer(), np.uint16).reshape(-1, VIEWS) for x in got["ids"]]
-    check = np.arange(len(y)) % 5 == 0
-    net = fit_network([d for d, c in zip(ids, check, strict=True) if not c], y[~check], seed=seed)
-    held = [d for d, c in zip(ids, check, strict=True) if c]
-    first = np.concatenate([[0], np.cumsum([len(d) for d in held])])
-    raw = net.scores(np.concatenate([np.zeros((0, VIEWS), np.uint16), *held]), first)
-    logit = np.log(raw / (1 - raw))
-    weight = np.array([1 / share[int(v)] for v in y[check]])
-    weight *= len(weight) / weight.sum()
-    net.scale, net.shift = _platt(logit, y[check], weight)
-    score = 1 / (1 + np.exp(-(net.scale * logit + net.shift)))
-    net.threshold = _best_threshold(score, y[check], weight)
-    lang = np.array([x or "" for x in got["lang"].to_pylist()], object)[check]
-    for name in sorted(set(lang) - {""}):
-        own = lang == name
-        if min(y[check][own].sum(), (1 - y[check][own]).sum()) >= least:
-            net.thresholds[str(name)] = _best_threshold(score[own], y[check][own], weight[own])
+    names = got["doc_id"].to_pylist()
+    fold = np.array([_fold(n, seed) for n in names])
+    net = fit_network(ids, y, seed=seed)
+    unseen = np.zeros(len(y))
+    for k in range(FOLDS):
+        mine, rest = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
+        # with one label only in the other folds there is nothing to fit on; the whole sample's network must do
+        judge = fit_network([ids[i] for i in rest], y[rest], seed=seed) if len(set(y[rest])) == 2 else net
+        first = np.concatenate([[0], np.cumsum([len(ids[i]) for i in mine])]).astype(np.int64)
+        unseen[mine] = judge.logits(np.concatenate([np.zeros((0, VIEWS), np.uint16), *[ids[i] for i in mine]]), first)
+    return Fitted(net, names, unseen)
+
+
+def _usable(labels: DataFrame, learn_from: Column) -> DataFrame:
+    return labels.filter(learn_from & F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
+
+
+def calibrate(fitted: Fitted, scored: DataFrame, labels: DataFrame, learn_from: Column, least: int = 20) -> TextCnn:
+    """The network with its scale and thresholds, from all labelled rows of ``scored`` (doc_id, lang, logit)."""
+    net = fitted.net
+    if net.base is not None:
+        return net
+    spark = scored.sparkSession
+    own: dict[str, list[float]] = {}
+    for n, x in zip(fitted.ids, fitted.unseen.tolist(), strict=True):
+        own.setdefault(n, []).append(x)
+    # as many rows as the sample has, hence the same bound
+    unseen = spark.createDataFrame([(n, sum(x) / len(x)) for n, x in own.items()], "_id string, _unseen double")
+    rows = scored.join(_usable(labels, learn_from), "doc_id").join(F.broadcast(unseen), F.col("doc_id").cast("string") == F.col("_id"), "left")
+    hist = saved(rows.groupBy("lang", F.floor(F.coalesce("_unseen", "logit") * BINS).alias("bin")).agg(
+        F.sum("toxic").cast("double").alias("bad"), F.sum(1 - F.col("toxic")).cast("double").alias("good")))
+    common = hist.groupBy("bin").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).orderBy("bin").toPandas()
+    at = (common["bin"].to_numpy() + 0.5) / BINS
+    n = len(at)
+    net.scale, net.shift = _platt(np.concatenate([at, at]), np.repeat([1.0, 0.0], n),
+                                  np.concatenate([common["bad"].to_numpy(), common["good"].to_numpy()]))
+    blank = float(np.nextafter(net.scores(np.zeros((0, VIEWS), np.uint16), np.zeros(2, np.int64))[0], 1))
+
+    def cut(t: float) -> float:
+        return max(blank, float(1 / (1 + np.exp(-np.clip(net.scale * t + net.shift, -WIDEST, WIDEST)))))
+
+    net.threshold = cut(best_cuts(hist.withColumn("lang", F.lit("")), least=1).first()["cut"])
+    net.thresholds = {r["lang"]: cut(r["cut"]) for r in best_cuts(hist.filter(F.col("lang").isNotNull()), least).collect()}
     return net
 
 
-def with_score(docs: DataFrame, net: TextCnn, keep: list[str], text_col: str = "text", out: str = "score") -> DataFrame:
-    """The ``keep`` columns and the toxicity score of every whole text."""
+def best_cuts(hist: DataFrame, least: int) -> DataFrame:
+    """lang, cut: the logit with the largest F1 of each language that has ``least`` rows of each label.
+
+    A cut lies midway between the lowest bin above it and the next bin in use; of equal ones the highest counts."""
+    bins = hist.groupBy("lang", "bin").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    whole = Window.partitionBy("lang")  # at most 2 * WIDEST * BINS + 1 rows for each language
+    down = whole.orderBy(F.desc("bin"))
+    hit, taken = F.sum("bad").over(down), F.sum(F.col("bad") + F.col("good")).over(down)
+    below = F.coalesce(F.lead("bin").over(down) + 1, F.col("bin"))
+    f1 = bins.select("lang", F.sum("bad").over(whole).alias("all_bad"), F.sum("good").over(whole).alias("all_good"),
+                     (hit * 2.0 / (taken + F.sum("bad").over(whole))).alias("f1"), "bin", ((F.col("bin") + below) / (2.0 * BINS)).alias("cut"))
+    return (f1.filter((F.col("all_bad") >= least) & (F.col("all_good") >= least)).groupBy("lang")
+            .agg(F.max(F.struct("f1", "bin", "cut"))["cut"].alias("cut")))
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, limits: FitLimits = FitLimits(), least: int = 20, seed: int = 7) -> TextCnn:
+    """Network, scale and thresholds from the labelled rows for which ``learn_from`` holds."""
+    fitted = fit_sample(docs, labels, learn_from, limits, seed)
+    return calibrate(fitted, with_logit(docs, fitted.net, ["doc_id", "lang"]), labels, learn_from, least)
+
+
+def scored_with(docs: DataFrame, labels: DataFrame, learn_from: Column, keep: list[str], limits: FitLimits = FitLimits(), least: int = 20,
+                seed: int = 7) -> tuple[DataFrame, TextCnn]:
+    """The ``keep`` columns (with doc_id and lang), score and threshold of every text; texts are read by the network once."""
+    fitted = fit_sample(docs, labels, learn_from, limits, seed)
+    scored = saved(with_logit(docs, fitted.net, keep))
+    net = calibrate(fitted, scored.select("doc_id", "lang", "logit"), labels, learn_from, least)
+    return scored.select(*keep, net.score_of(F.col("logit")).alias("score"), threshold_of(net, F.col("lang")).alias("threshold")), net
+
+
+def _read(docs: DataFrame, keep: list[str], text_col: str, out: str, judge) -> DataFrame:
     df = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("_text"))
     schema = T.StructType([f for f in df.schema.fields if f.name != "_text"] + [T.StructField(out, T.DoubleType())])
 
@@ -237,11 +324,21 @@ def with_score(docs: DataFrame, net: TextCnn, keep: list[str], text_col: str = "
             for lo, hi in pieces(off, 1 << 20):
                 ids, first = bucket_ids(data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
                 part = b.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*[part[c] for c in keep], pa.array(net.scores(ids, first), pa.float64())], [*keep, out])
+                yield pa.RecordBatch.from_arrays([*[part[c] for c in keep], pa.array(judge(ids, first), pa.float64())], [*keep, out])
 
     return df.mapInArrow(run, schema)
 
 
+def with_score(docs: DataFrame, net: TextCnn, keep: list[str], text_col: str = "text", out: str = "score") -> DataFrame:
+    """The ``keep`` columns and the toxicity score of every whole text."""
+    return _read(docs, keep, text_col, out, net.scores)
+
+
+def with_logit(docs: DataFrame, net: TextCnn, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The ``keep`` columns and the raw ``logit`` of every whole text."""
+    return _read(docs, keep, text_col, "logit", net.logits)
+
+
 def threshold_of(net: TextCnn, lang: Column) -> Column:
     """The threshold of a language, or the common one."""
     out = F.lit(net.threshold)
@@ -252,6 +349,5 @@ def threshold_of(net: TextCnn, lang: Column) -> Column:
 
 def without_toxic(docs: DataFrame, labels: DataFrame, learn_from: Column) -> DataFrame:
     """The documents, with their own columns, whose score is below the threshold of their language."""
-    net = fit(docs, labels, learn_from)
-    scored = with_score(with_own(docs, "text", "lang"), net, ["own", "lang"])
-    return scored.filter(F.col("score") < threshold_of(net, F.col("lang"))).select("own.*")
+    scored, _ = scored_with(with_own(docs, "doc_id", "text", "lang"), labels, learn_from, ["own", "doc_id", "lang"])
+    return scored.filter(F.col("score") < F.col("threshold")).select("own.*")
