@@ -247,14 +247,14 @@ def patch_features(v):
     return r6(P.patch_features(typed(v)))
 
 
-@query("slide_rollup", "AGG-40", sql_r6(typed_sql("""
-    select slide_id, avg(n_cells) as n_cells, avg(t) as "type_count__T cell", avg(f) as "type_frac__T cell"
-    from (select slide_id, patch_id, count(*) as n_cells, count(*) filter (where cell_type_retyped='T cell') as t,
-      count(*) filter (where cell_type_retyped='T cell')/count(*) as f from typed group by all) group by slide_id"""),
-    ["n_cells", "type_count__T cell", "type_frac__T cell"]))
+PATCH_INTS = ["n_cells", *[f"type_count__{t}" for t in CELL_TYPES]]
+
+
+@query("slide_rollup", "AGG-40", sql_r6(
+    typed_sql("select slide_id, " + ", ".join(f'avg("{c}") as "{c}"' for c in [*PATCH_INTS, *PATCH_DOUBLES])
+              + f" from ({PATCH_BODY}) group by slide_id", PATCH_CTES), [*PATCH_INTS, *PATCH_DOUBLES]))
 def slide_rollup(v):
-    comp = P.type_composition(P.with_patch(typed(v)))
-    return r6(P.slide_features(comp).select("slide_id", "n_cells", "type_count__T cell", "type_frac__T cell"))
+    return r6(P.slide_features(P.patch_features(typed(v))))
 
 
 @query("area_summary", "AGG-20 AGG-02", sql_r6(with_views("cells", f"""

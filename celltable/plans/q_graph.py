@@ -191,16 +191,47 @@ def community_features(v):
     return GK.community_features(n, stable(S.radius_edges(n)))
 
 
-@query("graph_features", "GRF-01 GRF-02 GRF-03 GRF-04 GRF-13 GRF-14 GRF-15", sql_r6(with_views("cells", """
-    select slide_id, patch_id, n as g_nodes, n_components, lcc_frac, deg_mean from
-      (select slide_id, patch_id, count(*) as n, avg(degree) as deg_mean from deg group by all) join
-      (select slide_id, patch_id, count(*) as n_components, max(size)/sum(size) as lcc_frac from
-        (select slide_id, patch_id, component, count(*) as size from comp group by all) group by all)
-      using (slide_id, patch_id)""", {**DEG, **REACH}), ["lcc_frac", "deg_mean"]))
+DEGREE_COLS = ["deg_mean", "deg_var", "deg_median", "deg_iqr", "deg_max", "deg_top1pct_mean"]
+
+
+def _graph_sql(keys: str) -> str:
+    """Every measure of the graphs named by ``keys``, patches or whole slides; edges never leave a patch."""
+    return f"""select {keys}, n as g_nodes, coalesce(m, 0) as g_edges, coalesce(2.0*coalesce(m,0)/case when n>1 then n*(n-1) end, 0) as g_edge_density,
+      {', '.join(DEGREE_COLS)}, coalesce(tri, 0)/n as clustering_avg, n_components, lcc_frac, assort_type, {', '.join(f'"{c}"' for c in MIX_COLS)}
+    from (select {keys}, count(*) as n from cn group by all)
+    left join (select {keys}, count(*) as m, max(weight) as top from edges group by all) using ({keys})
+    join (select {keys}, avg(degree) as deg_mean, case when count(*)>1 then var_samp(degree) end as deg_var,
+        median(degree) as deg_median, quantile_cont(degree,.75)-quantile_cont(degree,.25) as deg_iqr,
+        max(degree)::double as deg_max, avg(degree) filter (where rn <= k) as deg_top1pct_mean
+      from (select *, row_number() over (partition by {keys} order by degree desc, node) as rn,
+        greatest(1, ceil(0.01*count(*) over (partition by {keys}))) as k from deg) group by all) using ({keys})
+    left join (select {keys}, sum(g/top*2/(degree*(degree-1))) as tri from (
+        select a.slide_id, a.patch_id, a.node, sum(cbrt(a.weight*b.weight*c.weight)) as g
+        from sym a join sym b on a.slide_id=b.slide_id and a.patch_id=b.patch_id and a.node=b.node and a.nb<b.nb
+        join edges c on c.slide_id=a.slide_id and c.patch_id=a.patch_id and c.src=a.nb and c.dst=b.nb group by all)
+      join deg using (slide_id, patch_id, node) join (select {keys}, max(weight) as top from edges group by all) using ({keys})
+      group by all) using ({keys})
+    join (select {keys}, count(*) as n_components, max(size)/sum(size) as lcc_frac from
+      (select slide_id, patch_id, component, count(*) as size from comp group by all) group by all) using ({keys})
+    join ({_assort_sql(keys)}) using ({keys}) join ({_mix_sql(keys)}) using ({keys})"""
+
+
+GRAPH_COLS = ["g_edge_density", *DEGREE_COLS, "clustering_avg", "lcc_frac", "assort_type", *MIX_COLS]
+
+
+@query("graph_features", "GRF-01 GRF-02 GRF-03 GRF-04 GRF-13 GRF-14 GRF-15", sql_r6(with_views("cells", _graph_sql("slide_id, patch_id"), {
+    **NODES_T, **DEG, **REACH, "mix": MIX.format(k="slide_id, patch_id")}), GRAPH_COLS))
 def graph_features(v):
-    t = with_patch(typed(v))
-    f = G.graph_features(t, stable(S.radius_edges(t)))
-    return r6(f.select(*PATCH, "g_nodes", "n_components", "lcc_frac", "deg_mean"))
+    t = stable(with_patch(typed(v)))
+    return r6(G.graph_features(t, stable(S.radius_edges(t))))
+
+
+@query("slide_graph_features", "GRF-16", sql_r6(with_views("cells", _graph_sql("slide_id"), {
+    **NODES_T, **DEG, **REACH, "mix": MIX.format(k="slide_id")}), GRAPH_COLS))
+def slide_graph_features(v):
+    t = stable(with_patch(typed(v)))
+    n, e = G.merge_graphs(t, stable(S.radius_edges(t)))
+    return r6(G.graph_features(n, stable(e), ["slide_id"]))
 
 
 # ---- super-patch graphs -------------------------------------------------------------
@@ -240,19 +271,27 @@ def superpatches(v):
 
 
 GREEDY_CHECK = {**PAIRS, "psym": "select slide_id, src as node, dst as nb from pairs union all select slide_id, dst, src from pairs"}
-
-
-@query("superpatch_features", "GRF-18 AGG-21", sql_r6(with_views("bags", """
-    select b.slide_id, b.vec_id as node, count(*) as n_members, avg(m.feature[1]::double) as f0,
-      avg(m.feature[64]::double) as f63, any_value(b.x) as x, any_value(b.y) as y
+MERGED_SQL = """
+    select b.slide_id, b.vec_id as node, count(*) as n_members, any_value(b.x) as x, any_value(b.y) as y, {features}
     from bags b join (select slide_id, node, nb from psym union all select slide_id, vec_id, vec_id from bags) p
       on p.slide_id=b.slide_id and p.node=b.vec_id join bags m on m.slide_id=p.slide_id and m.vec_id=p.nb
-    group by b.slide_id, b.vec_id""", GREEDY_CHECK), ["f0", "f63"]))
+    group by b.slide_id, b.vec_id"""
+F64 = [f"f{i}" for i in range(64)]
+
+
+@query("superpatch_features", "GRF-18 AGG-21", sql_r6(with_views("bags", MERGED_SQL.format(
+    features=", ".join(f"avg(m.feature[{i + 1}]::double) as {c}" for i, c in enumerate(F64))), GREEDY_CHECK), F64))
 def superpatch_features(v):
     every = v.bags.select("slide_id", F.col("vec_id").alias("node"))
     m = G.merge_superpatches(v.bags, pairs(v), every)
-    return r6(m.select("slide_id", "node", "n_members", F.col("feature")[0].alias("f0"),
-                       F.col("feature")[63].alias("f63"), "x", "y"))
+    return r6(m.select("slide_id", "node", "n_members", "x", "y", *[F.col("feature")[i].alias(c) for i, c in enumerate(F64)]))
+
+
+@query("selected_superpatches", "GRF-17 GRF-18")
+def selected_superpatches(v):
+    """The super-patch graph's nodes: the greedily selected ones with their merged features."""
+    p = stable(pairs(v))
+    return G.merge_superpatches(v.bags, p, G.select_superpatches(v.bags, p))
 
 
 BAG_REACH = {"g": """select a.slide_id, a.vec_id as node, b.vec_id as nb from bags a join bags b on a.slide_id=b.slide_id
