@@ -83,6 +83,17 @@ def pair_quality(px: DataFrame, keys: list[str] = ["img"]) -> DataFrame:
     return d.select(*keys, F.when(mse > 0, F.log10(F.lit(255.0 * 255.0) / mse) * 10.0).alias("psnr"), "delta_e", r.alias("pearson"))
 
 
+def quality_by_group(px: DataFrame, groups: list[str], image: str = "img") -> DataFrame:
+    """Number of image pairs and mean PSNR, colour difference, correlation and structural similarity of every group.
+
+    All pairs count.  The PSNR of equal images is NULL and an image smaller than the window has no similarity; such
+    values do not enter their mean."""
+    of = px.groupBy(image).agg(*[F.min(g).alias(g) for g in groups])
+    scores = pair_quality(px, [image]).join(ssim(px, [image]), image, "left").join(of, image)
+    return scores.groupBy(*groups).agg(F.count(F.lit(1)).alias("n_images"),
+                                       *[F.avg(c).alias(c) for c in ("psnr", "delta_e", "pearson", "ssim")])
+
+
 def box_mean(px: DataFrame, keys: list[str], values: list[str], radius: int = 3) -> DataFrame:
     """Sliding square means of dense images; only pixels with a complete window remain.
 

@@ -319,14 +319,24 @@ def reconcile(base: DataFrame, seam: DataFrame, boxes: DataFrame, cell: float =
     return kept.select("img", "y", "x", F.col("inst").cast("bigint").alias("inst")).unionByName(new)
 
 
-def seg_scalars(px: DataFrame, types: list[int]) -> DataFrame:
-    """Pixel accuracy, global Dice and per-type Dice of label and type maps, and offset-map error."""
+def seg_scalars(px: DataFrame, types: list[int], keys: list[str] = ["img"], maps: list[str] = ["h"]) -> DataFrame:
+    """Pixel accuracy, Dice and per-type Dice of label and type maps, and the mean squared error of offset maps.
+
+    One row per ``keys``; without keys all images are pooled into one row.  The error is the mean over all pixels of
+    all ``maps``, named after them."""
     t, p = F.col("true_id") > 0, F.col("pred_id") > 0
 
     def d(a: Column, b: Column) -> Column:
         return F.count_if(a & b) * 2.0 / (F.count_if(a) + F.count_if(b) + 1e-8)
 
-    return px.groupBy("img").agg(
+    off = [F.avg(F.pow(F.col(f"true_{m}") - F.col(f"pred_{m}"), 2)) for m in maps]
+    return px.groupBy(*keys).agg(
         F.avg((t == p).cast("int")).alias("pixel_acc"), d(t, p).alias("dice"),
         *[d(F.col("true_type") == k, F.col("pred_type") == k).alias(f"dice_{k}") for k in types],
-        F.avg(F.pow(F.col("true_h") - F.col("pred_h"), 2)).alias("mse_h"))
+        (sum(off[1:], off[0]) / len(off)).alias("mse_" + "".join(maps)))
+
+
+def mean_scores(scores: DataFrame) -> DataFrame:
+    """Number of images and the mean of every score over them; NULL scores do not count."""
+    names = [c for c, t in scores.dtypes if t == "double"]
+    return scores.agg(F.count(F.lit(1)).alias("n_images"), *[F.avg(c).alias(c) for c in names])

@@ -184,6 +184,25 @@ def segmentation_scalars(v):
     return r6(S.seg_scalars(d, [1, 2]))
 
 
+@query("pooled_scalars", "AGG-32", sql_r6(with_views("labels_px", """
+    select avg(cast((true_id>0)=(pred_id>0) as int)) as pixel_acc,
+      2.0*count(*) filter (where true_id>0 and pred_id>0)/(count(*) filter (where true_id>0)+count(*) filter (where pred_id>0)+1e-8) as dice,
+      2.0*count(*) filter (where true_id%3=1 and pred_id%3=1)/(count(*) filter (where true_id%3=1)+count(*) filter (where pred_id%3=1)+1e-8) as dice_1,
+      2.0*count(*) filter (where true_id%3=2 and pred_id%3=2)/(count(*) filter (where true_id%3=2)+count(*) filter (where pred_id%3=2)+1e-8) as dice_2,
+      (avg((true_id/7-pred_id/11)**2)+avg((true_id/5-pred_id/13)**2))/2 as mse_hv from labels_px"""),
+    ["pixel_acc", "dice", "dice_1", "dice_2", "mse_hv"]))
+def pooled_scalars(v):
+    d = v.labels_px.withColumns({"true_type": F.col("true_id") % 3, "pred_type": F.col("pred_id") % 3,
+                                 "true_h": F.col("true_id") / 7, "pred_h": F.col("pred_id") / 11,
+                                 "true_v": F.col("true_id") / 5, "pred_v": F.col("pred_id") / 13})
+    return r6(S.seg_scalars(d, [1, 2], keys=[], maps=["h", "v"]))
+
+
+@query("mean_instance_scores", "SEG-07")
+def mean_instance_scores(v):
+    return r6(S.mean_scores(S.instance_scores(v.labels_px)))
+
+
 def sided_points(v):
     """Cells of one line status against those of the other, as truth and prediction."""
     c = v.cells.select(F.concat_ws("|", "slide_id", C.patch_id("cell_id")).alias("image"), F.col("cell_id").alias("id"),
@@ -316,6 +335,24 @@ def ssim(v):
     return r6(I.ssim(v.rgb_px))
 
 
+QUALITY_SQL = """select img, psnr, delta_e, pearson from (select img, avg(delta_e) as delta_e from de group by img) join (
+      select img, 10*log10(255.0*255.0/avg((p-q)**2)) as psnr, corr(p, q) as pearson from (
+        select img, r::double as p, r2::double as q from rgb_px union all select img, g, g2 from rgb_px union all select img, b, b2 from rgb_px)
+      group by img) using (img)"""
+SSIM_SQL = """select img, avg(s) as ssim from (select img, ch, avg(((2*a*b+6.5025)*(2*(ab-a*b)*49/48+58.5225))/
+      ((a*a+b*b+6.5025)*((aa-a*a)*49/48+(bb-b*b)*49/48+58.5225))) as s from box group by all) group by img"""
+
+
+@query("quality_by_marker", "AGG-38 AGG-39", sql_r6(with_views("rgb_px", f"""
+    select slide, marker, count(*) as n_images, avg(psnr) as psnr, avg(delta_e) as delta_e, avg(pearson) as pearson, avg(ssim) as ssim
+    from (select *, concat('s', img%7) as slide, case when img%3=0 then 'CD3' when img%3=1 then 'CD8' else 'CD20' end as marker
+      from ({QUALITY_SQL}) join ({SSIM_SQL}) using (img)) group by slide, marker""", {**DE, **BOX}), ["psnr", "delta_e", "pearson", "ssim"]))
+def quality_by_marker(v):
+    d = v.rgb_px.withColumns({"slide": F.concat(F.lit("s"), (F.col("img") % 7).cast("string")),
+                              "marker": F.when(F.col("img") % 3 == 0, "CD3").when(F.col("img") % 3 == 1, "CD8").otherwise("CD20")})
+    return r6(I.quality_by_group(d, ["slide", "marker"]))
+
+
 # Example stain matrix (haematoxylin, eosin, residual).
 STAIN = [[1.88, -0.07, -0.60], [-1.02, 1.13, -0.48], [-0.55, -0.13, 1.57]]
 
