@@ -2,12 +2,12 @@
 
 Words are hashed to buckets with an embedding each, and so are their first 5 and 7 bytes, which inflected forms share;
 a word's vector is the sum of the three.  Filters of several widths slide over the text, their largest
-response anywhere in the text is kept, and a logistic unit reads those maxima.  The network is fitted on the driver
-with Adam on a bounded sample of labelled rows.
+response anywhere in the text is kept, and a logistic unit reads those maxima.  The network is fitted with Adam on a
+bounded sample of labelled rows, in one task.
 
 The scale of the scores and the thresholds come from all labelled rows that may be learnt from, texts of any size
 included: Spark scores them and counts them in histograms by language, label and score.  No row is judged by a network
-fitted on it: rows of the sample are scored by networks fitted on the other folds of the sample.  A language with
+fitted on it: rows of the sample are scored by networks fitted on the other folds of the sample, a task each.  A language with
 ``least`` rows of each label gets the cut with the largest F1 on its own rows, all others the cut of all rows together.  A cut lies
 above the score of a text without known words: nothing is rejected without evidence.
 
@@ -21,6 +21,7 @@ only, every score is the share of label 1 (0.5 without rows) and nothing is flag
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from dataclasses import dataclass, field
 
@@ -240,17 +241,35 @@ def fit_sample(docs: DataFrame, labels: DataFrame, learn_from: Column, limits: F
     ids = [np.frombuffer(x.as_buffer(), np.uint16).reshape(-1, VIEWS) for x in got["ids"]]
     names = got["doc_id"].to_pylist()
     fold = np.array([_fold(n, seed) for n in names])
-    net = fit_network(ids, y, seed=seed)
-    unseen = np.zeros(len(y))
-    for k in range(FOLDS):
-        mine, rest = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
-        # with one label only in the other folds there is nothing to fit on; the whole sample's network must do
-        judge = fit_network([ids[i] for i in rest], y[rest], seed=seed) if len(set(y[rest])) == 2 else net
-        first = np.concatenate([[0], np.cumsum([len(ids[i]) for i in mine])]).astype(np.int64)
-        unseen[mine] = judge.logits(np.concatenate([np.zeros((0, VIEWS), np.uint16), *[ids[i] for i in mine]]), first)
+
+    def run(batches):
+        for b in batches:
+            for k in b["id"].to_pylist():
+                net, logits = _fit_without(ids, y, fold, k, seed)
+                yield pa.RecordBatch.from_pydict({"fold": [k], "net": [pickle.dumps(net)], "logits": [logits.tolist()]})
+
+    # the sample is bounded, so is each fit; they run side by side, one task each
+    fits = docs.sparkSession.range(-1, FOLDS, numPartitions=FOLDS + 1).mapInArrow(run, "fold bigint, net binary, logits array<double>")
+    net, unseen = None, np.zeros(len(y))
+    for r in fits.toArrow().to_pylist():
+        if r["fold"] < 0:
+            net = pickle.loads(r["net"])
+        else:
+            unseen[fold == r["fold"]] = r["logits"]
     return Fitted(net, names, unseen)
 
 
+def _fit_without(ids: list[np.ndarray], y: np.ndarray, fold: np.ndarray, k: int, seed: int) -> tuple[TextCnn, np.ndarray]:
+    """The network of all rows but those of fold ``k``, and its logits of these; -1 is no row's fold.
+
+    With one label only in the other folds there is nothing to fit on; the whole sample's network must do."""
+    mine, rest = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
+    rest = rest if len(set(y[rest])) == 2 else np.arange(len(y))
+    net = fit_network([ids[i] for i in rest], y[rest], seed=seed)
+    first = np.concatenate([[0], np.cumsum([len(ids[i]) for i in mine])]).astype(np.int64)
+    return net, net.logits(np.concatenate([np.zeros((0, VIEWS), np.uint16), *[ids[i] for i in mine]]), first)
+
+
 def _usable(labels: DataFrame, learn_from: Column) -> DataFrame:
     return labels.filter(learn_from & F.col("toxic").isin(0, 1)).select("doc_id", "toxic")
 
