@@ -55,6 +55,37 @@ def test_closed_form_centralities(shapes):
     assert f["lone"]["diameter_lcc"] is None
 
 
+def leading(edges, weight=None):
+    import pandas as pd
+    pdf = pd.DataFrame(edges, columns=["src", "dst"])
+    ids, tail, head, order, starts = GK._arcs(pdf)
+    w = np.ones(len(tail)) if weight is None else np.concatenate([weight, weight])[order]
+    return GK._leading_vector(len(ids), tail, head, starts, w)
+
+
+def test_leading_vector_of_chains_and_grids():
+    for n in (2, 3, 50, 64, 65, 2000, 8000):
+        want = np.sin(np.pi * np.arange(1, n + 1) / (n + 1))
+        assert np.abs(leading([(i, i + 1) for i in range(n - 1)]) - want / np.linalg.norm(want)).max() < 1e-9
+    a, b = 70, 40
+    grid = [(i * b + j, i * b + j + 1) for i in range(a) for j in range(b - 1)] + [(i * b + j, i * b + j + b) for i in range(a - 1) for j in range(b)]
+    want = np.outer(np.sin(np.pi * np.arange(1, a + 1) / (a + 1)), np.sin(np.pi * np.arange(1, b + 1) / (b + 1))).reshape(-1)
+    assert np.abs(leading(grid) - want / np.linalg.norm(want)).max() < 1e-9
+
+
+def test_leading_vector_of_weighted_graphs():
+    rng = np.random.default_rng(8)
+    for n in (5, 40, 150):
+        edges = [(i, int(rng.integers(0, i))) for i in range(1, n)] + [(int(a), int(b)) for a, b in rng.integers(0, n, (2 * n, 2)) if a != b]
+        w = rng.random(len(edges)) + 0.01
+        m = np.zeros((n, n))
+        for (a, b), x in zip(edges, w):
+            m[a, b] += x
+            m[b, a] += x
+        v = np.linalg.eigh(m)[1][:, -1]
+        assert np.abs(leading(edges, w) - v * np.sign(v.sum())).max() < 1e-9
+
+
 def test_source_shares_add_up(shapes, monkeypatch):
     n, e = shapes
     comp = G.components(n, e)
