@@ -162,6 +162,9 @@ def cell_csv_round_trip(v):
     return d.groupBy("slide_id").agg(F.count(F.lit(1)).alias("n"), F.sum("CD3").alias("cd3"), F.sum("x").alias("x"), F.count("SampleAF").alias("n_af"))
 
 
+TYPE_LOOKUP = '{"0": ["none", [0, 0, 0]], "1": ["tumour", [255, 0, 0]], "2": ["immune", [0, 255, 0]]}'
+
+
 @query("nuclei_rows", "SRC-04 SRC-05 JOI-25 SNK-04", with_views("cells", """
     select slide_id, x, y, '' as class, case t when 0 then 'none' when 1 then 'tumour' when 2 then 'immune' else '3' end as name,
       case t when 0 then 0 when 1 then 16711680 when 2 then 65280 else -16777216 end as color
@@ -169,13 +172,14 @@ def cell_csv_round_trip(v):
 def nuclei_rows(v):
     t = (F.col("CD4").cast("int") % 4)
     n = F.struct(F.array(F.col("x"), F.col("y")).alias("centroid"), F.lit(0.5).alias("type_prob"), t.alias("type"))
-    path = shared_dir(v, "nuclei")
-    # a file may hold one patch's nuclei; the map is bounded here to one entry per line
-    v.cells.select("slide_id", F.lit(40.0).alias("mag"), F.create_map("cell_id", n).alias("nuc")).write.json(path)
-    d = IN.explode_nuclei(v.spark.read.schema("slide_id string, " + IN.NUCLEI).json(path))
-    types = IN.type_lookup(v.spark, {"0": ["none", [0, 0, 0]], "1": ["tumour", [255, 0, 0]], "2": ["immune", [0, 255, 0]]}, 3)
-    parts = OUT.to_qupath(d.select("type", F.struct("slide_id", "cx").alias("cx"), "cy"), types)
-    return parts.select("x.slide_id", F.col("x.cx").alias("x"), "y", "class", "name", "color")
+    path, lookup, out = (shared_dir(v, name) for name in ("nuclei", "types", "qupath"))
+    # a line may hold one patch's nuclei; the map is bounded here to one entry per line
+    v.cells.select("slide_id", F.lit(40.0).alias("mag"), F.create_map("cell_id", n).alias("nuc")).hint("rebalance", "slide_id").write.partitionBy("slide_id").json(path)
+    OUT.write_table(v.spark.createDataFrame([(TYPE_LOOKUP,)], "value string").coalesce(1), lookup, "text")
+    nuclei = IN.read_nuclei(v.spark, path, r"slide_id=([^/]+)/[^/]+$", multi_line=False)
+    OUT.write_qupath(OUT.to_qupath(nuclei, IN.read_type_lookup(v.spark, lookup, 3), ["slide_id"]), out, by=["slide_id"])
+    schema = "x double, y double, class string, name string, color int, slide_id string"
+    return v.spark.read.schema(schema).option("sep", "\t").option("header", True).option("nullValue", "\\N").csv(out).select("slide_id", "x", "y", "class", "name", "color")
 
 
 @query("bag_files", "SRC-07 SNK-06", "select slide_id, count(*) as n, floor(sum(f)*1e6+.5)/1e6 as f from (select cast(label as varchar) as slide_id, embedding[1]::double as f from embeddings) group by slide_id")

@@ -91,10 +91,12 @@ def explode_nuclei(df: DataFrame) -> DataFrame:
                     "n.type", "n.type_prob", "n.bbox", "n.contour")
 
 
-def read_nuclei(spark: SparkSession, path: str) -> DataFrame:
-    """Nuclei JSON files, one row per nucleus, with ``slide_id`` from the file name."""
-    d = spark.read.schema(NUCLEI).option("multiLine", True).json(path)
-    return explode_nuclei(d.select(slide_of_file(r"([^/]+)\.json$").alias("slide_id"), "mag", "nuc"))
+def read_nuclei(spark: SparkSession, path: str, slide: str = r"([^/]+)\.json$", multi_line: bool = True) -> DataFrame:
+    """Nuclei JSON files, one row per nucleus, with ``slide_id`` from the file path by the pattern ``slide``.
+
+    A file holds one object, or with ``multi_line=False`` one object per line, which Spark can split over tasks."""
+    d = spark.read.schema(NUCLEI).option("multiLine", multi_line).option("recursiveFileLookup", True).json(path)
+    return explode_nuclei(d.select(slide_of_file(slide).alias("slide_id"), "mag", "nuc"))
 
 
 def type_lookup(spark: SparkSession, params: dict, n_types: int | None = None) -> DataFrame:
@@ -107,7 +109,11 @@ def type_lookup(spark: SparkSession, params: dict, n_types: int | None = None) -
 
 
 def read_type_lookup(spark: SparkSession, path: str, n_types: int | None = None) -> DataFrame:
-    return type_lookup(spark, load_params(path), n_types)
+    """Type table from a JSON file wherever Spark can read; exactly one file must hold it."""
+    texts = [r[0] for r in spark.read.text(path, wholetext=True).head(2)]
+    if len(texts) != 1:
+        raise ValueError(f"{path} must hold one file with the type lookup")
+    return type_lookup(spark, load_params(texts[0]), n_types)
 
 
 def read_polygons(spark: SparkSession, path: str) -> DataFrame:

@@ -27,16 +27,18 @@ def dictionary_json(dictionary: DataFrame) -> str:
     return json.dumps({r["feature"]: r["description"] for r in dictionary.collect()}, ensure_ascii=False, indent=2)
 
 
-def to_qupath(nuclei: DataFrame, types: DataFrame) -> DataFrame:
-    """x, y, class, name, color rows; an unknown type keeps its number as the name."""
+def to_qupath(nuclei: DataFrame, types: DataFrame, keep: list[str] = []) -> DataFrame:
+    """x, y, class, name, color rows after the ``keep`` columns; an unknown type keeps its number as the name."""
     t = types.select(F.col("type_id").alias("type"), F.col("name").alias("_name"), rgb_to_int("r", "g", "b").alias("_color"))
     return (nuclei.join(t, "type", "left")
-            .select(F.col("cx").alias("x"), F.col("cy").alias("y"), F.lit("").alias("class"),
+            .select(*keep, F.col("cx").alias("x"), F.col("cy").alias("y"), F.lit("").alias("class"),
                     F.coalesce("_name", F.col("type").cast("string")).alias("name"), F.coalesce("_color", F.lit(-16777216)).alias("color")))
 
 
-def write_qupath(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    rows.write.mode(mode).option("sep", "\t").option("header", True).csv(path)
+def write_qupath(rows: DataFrame, path: str, mode: str = "errorifexists", by: list[str] = []) -> None:
+    """Tab-separated files, in a folder for each value of the ``by`` columns; few files a folder, a large one in several."""
+    rows = rows.hint("rebalance", *by) if by else rows
+    rows.write.mode(mode).partitionBy(*by).option("sep", "\t").option("header", True).csv(path)
 
 
 def regroup(inventory: DataFrame, path: str, keys: list[str], mode: str = "errorifexists") -> None:

@@ -144,6 +144,15 @@ def test_json_sources(spark, tmp_path):
     assert n.first()["cx"] == 1.5
     types = IN.type_lookup(spark, {"0": ["none", [0, 0, 0]], "1": ["x", [1, 2, 3]]}, 2)
     assert OUT.to_qupath(n, types).first()["color"] == 66051
+    (tmp_path / "types").mkdir()
+    (tmp_path / "types" / "t.json").write_text('{"0": ["none", [0, 0, 0]],\n "1": ["x", [1, 2, 3]]}')
+    assert IN.read_type_lookup(spark, str(tmp_path / "types"), 2).count() == 2
+    OUT.write_qupath(OUT.to_qupath(n, types, ["slide_id"]), str(tmp_path / "q"), by=["slide_id"])
+    back = spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "q")).first()
+    assert (back["slide_id"], back["x"], back["name"], back["color"]) == ("a", "1.5", "x", "66051")
+    (tmp_path / "types" / "u.json").write_text("{}")
+    with pytest.raises(ValueError, match="one file"):
+        IN.read_type_lookup(spark, str(tmp_path / "types"), 2)
     with pytest.raises(ValueError, match="lacks ids"):
         IN.type_lookup(spark, {"0": ["none", [0, 0, 0]]}, 2)
     with pytest.raises(ValueError):
