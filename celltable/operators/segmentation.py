@@ -309,7 +309,8 @@ def reconcile(base: DataFrame, seam: DataFrame, boxes: DataFrame, cell: float =
             | (F.col("y") == F.col("y0")) | (F.col("y") == F.col("y1") - 1))
     touch = inside.groupBy("img", "box", "inst").agg(F.max(edge).alias("edge"))
     drop = touch.filter(~F.col("edge")).select("img", "inst").distinct()
-    kept = b.join(drop, ["img", "inst"], "left_anti")
+    # an anti join keeps the estimated size of its left side, here of exploded pixels
+    kept = b.join(drop, ["img", "inst"], "left_anti").hint("merge")
     clash = (seam.filter(F.col("inst") > 0).join(kept.select("img", "y", "x"), ["img", "y", "x"], "left_semi")
              .select("img", "box", "inst").distinct())
     new = seam.filter(F.col("inst") > 0).join(clash, ["img", "box", "inst"], "left_anti")
