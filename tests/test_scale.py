@@ -20,3 +20,34 @@ def test_seam_pixels_are_not_sent_through_the_driver(spark):
     import __spark_entry__ as e
     semi = [line for line in plan(e.queries()["seam_reconcile"](spark, D)).splitlines() if "LeftSemi" in line]
     assert semi and all("SortMergeJoin" in line for line in semi)
+
+
+def test_pair_join_copies_only_points_near_a_border(spark):
+    from celltable.operators.spatial import pairs_within
+    pts = spark.sql("select 1 as g, id as i, cast(id % 100 * 7 as double) as x, cast(floor(id / 100) * 7 as double) as y from range(10000)")
+    p = pairs_within(pts, ["g"], "i", 10.0)
+    # four neighbours at 7 and four at 9.9 of every inner point
+    assert p.count() == 2 * 99 * 100 + 2 * 99 * 99
+    # sides of 40 copy a quarter of the points per side; copies of one row to five buckets were 50,000 rows
+    copies = p._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(array" in copies
+
+
+def test_edges_carry_node_columns_without_a_join(spark):
+    from celltable.operators import spatial as S
+    pts = spark.createDataFrame([("s", "p", c, float(i), 0.0, g) for i, (c, g) in enumerate(zip("abc", "TBT"))],
+                                "slide_id string, patch_id string, cell_id string, x double, y double, grp string")
+    ends = S.radius_edges(pts, radius=1.0, carry=("grp",))
+    assert sorted((r.src, r.dst, r.grp_src, r.grp_dst) for r in ends.collect()) == [("a", "b", "T", "B"), ("b", "c", "B", "T")]
+    assert plan(ends).count("Join") == 1
+
+
+def test_small_graphs_share_a_call_and_large_ones_agree(spark):
+    from celltable.operators import graph as G, spatial as S
+    pts = spark.sql("""select cast(id % 40 as string) as slide_id, 'p' as patch_id, cast(id as string) as cell_id,
+        cast(id * 37 % 101 as double) as x, cast(id * 53 % 97 as double) as y from range(2000)""")
+    e = S.radius_edges(pts, radius=15.0)
+    one = {r.slide_id: round(r.clustering_avg, 9) for r in G.clustering(pts, e).collect()}
+    assert one == {r.slide_id: round(r.clustering_avg, 9) for r in G.clustering(pts, e, small=5).collect()}
+    named = lambda d: sorted(map(tuple, d.collect()))
+    assert named(G.components(pts, e)) == named(G.components(pts, e, small=5))
