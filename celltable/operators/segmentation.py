@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from celltable.operators.graph import component_sizes, components
-from celltable.operators.skew import prefix_agg, row_index, stable
+from celltable.operators.skew import in_blocks, prefix_agg, row_index, stable
 from celltable.operators.spatial import join_boxes
 
 
@@ -101,22 +101,29 @@ def unique_pairs(o: DataFrame, max_cells: int = 4_000_000) -> DataFrame:
     e = o.select("img", t.alias("src"), p.alias("dst"))
     n = e.select("img", F.col("src").alias("id")).unionByName(e.select("img", F.col("dst").alias("id"))).distinct()
     comp = components(n, e, ["img"], "id").select("img", F.col("node").alias("_k"), "component")
-    parts = o.withColumn("_k", t).join(comp, ["img", "_k"])
+    parts = stable(o.withColumn("_k", t).join(comp, ["img", "_k"]).select("img", "component", "t", "p", "iou"))
     big = parts.groupBy("img", "component").agg((F.countDistinct("t") * F.countDistinct("p")).alias("c")).agg(F.max("c")).first()[0]
     if (big or 0) > max_cells:
         raise ValueError(f"an overlap part needs a {big}-cell cost table, more than {max_cells}")
     types = dict(o.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ts, ps = np.unique(pdf["t"]), np.unique(pdf["p"])
-        gain = np.zeros((len(ts), len(ps)))
-        gain[np.searchsorted(ts, pdf["t"]), np.searchsorted(ps, pdf["p"])] = pdf["iou"]
-        i, j = hungarian(-gain)
-        ok = gain[i, j] > 0
-        return pd.DataFrame({"img": pdf["img"].iloc[0], "t": ts[i[ok]], "p": ps[j[ok]]})
-
-    got = parts.select("img", "component", "t", "p", "iou").groupBy("img", "component").applyInPandas(
-        run, f"img {types['img']}, t {types['t']}, p {types['p']}")
+        by = ["img", "component"]
+        # the only pair of a part is its pairing; only parts of several pairs need a search
+        alone = ~pdf.duplicated(by, keep=False) & (pdf["iou"] > 0)
+        out = [pdf.loc[alone, ["img", "t", "p"]]]
+        for _, g in pdf[pdf.duplicated(by, keep=False)].groupby(by, sort=False):
+            ts, i = np.unique(g["t"].to_numpy(), return_inverse=True)
+            ps, j = np.unique(g["p"].to_numpy(), return_inverse=True)
+            gain = np.zeros((len(ts), len(ps)))
+            gain[i, j] = g["iou"].to_numpy()
+            i, j = hungarian(-gain)
+            ok = gain[i, j] > 0
+            out.append(pd.DataFrame({"img": g["img"].iloc[0], "t": ts[i[ok]], "p": ps[j[ok]]}))
+        return pd.concat(out, ignore_index=True)
+
+    got = in_blocks(parts.select("img", "component", "t", "p", "iou"), ["img", "component"], run,
+                    f"img {types['img']}, t {types['t']}, p {types['p']}")
     return o.join(got, ["img", "t", "p"])
 
 

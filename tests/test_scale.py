@@ -51,3 +51,12 @@ def test_small_graphs_share_a_call_and_large_ones_agree(spark):
     assert one == {r.slide_id: round(r.clustering_avg, 9) for r in G.clustering(pts, e, small=5).collect()}
     named = lambda d: sorted(map(tuple, d.collect()))
     assert named(G.components(pts, e)) == named(G.components(pts, e, small=5))
+
+
+def test_parts_of_an_overlap_graph_share_task_calls(spark):
+    from celltable.operators.segmentation import unique_pairs
+    o = spark.createDataFrame([(1, 1, 1, 5, 9, 0.5), (1, 2, 2, 5, 9, 0.6), (1, 2, 3, 5, 9, 0.5), (1, 3, 2, 5, 9, 0.5), (2, 1, 1, 1, 2, 0.4)],
+                              "img int, t int, p int, inter int, `union` int, iou double")
+    got = unique_pairs(o)
+    assert sorted((r.img, r.t, r.p) for r in got.collect()) == [(1, 1, 1), (1, 2, 3), (1, 3, 2), (2, 1, 1)]
+    assert "_block" in plan(got)
