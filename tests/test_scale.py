@@ -60,3 +60,16 @@ def test_parts_of_an_overlap_graph_share_task_calls(spark):
     got = unique_pairs(o)
     assert sorted((r.img, r.t, r.p) for r in got.collect()) == [(1, 1, 1), (1, 2, 3), (1, 3, 2), (2, 1, 1)]
     assert "_block" in plan(got)
+
+
+def test_nearest_neighbours_are_found_across_buckets_and_shuffled_once(spark):
+    from celltable.operators.spatial import knn_edges
+    pts = spark.sql("select 's' as g, id as i, cast(id * 37 % 211 as double) as x, cast(id * 53 % 199 as double) as y from range(300)")
+    rows = [(r.i, r.x, r.y) for r in pts.collect()]
+    want = set()
+    for i, x, y in rows:
+        near = sorted(((x - u) ** 2 + (y - v) ** 2, j) for j, u, v in rows if j != i)[:3]
+        want |= {(min(i, j), max(i, j)) for _, j in near}
+    got = knn_edges(pts, ["g"], 3, "i", start_radius=5.0)
+    assert {(r.src, r.dst) for r in got.collect()} == want
+    assert "Join" not in plan(got)
