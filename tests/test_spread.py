@@ -17,3 +17,11 @@ def test_components_of_runs_meet(spark):
     n = e.selectExpr("slide_id", "src as id").union(e.selectExpr("slide_id", "dst")).union(spark.createDataFrame([("9", "alone")], "slide_id string, id string")).distinct()
     got = G.components(n, e, ["slide_id"], "id", small=0, run_rows=10).collect()
     assert len(got) == 607 and all(r.component == ("alone" if r.node == "alone" else f"{int(r.node) % 6:05d}") for r in got)
+
+
+def test_a_slide_of_edges_is_written_by_few_tasks(spark, tmp_path):
+    from celltable.sources.writers import write_edges
+    e = spark.range(4000).selectExpr("cast(id % 20 as string) as slide_id", "'0_0' as patch_id", "id as src", "id + 1 as dst").repartition(16)
+    write_edges(e, str(tmp_path / "edges"))
+    assert spark.read.parquet(str(tmp_path / "edges")).count() == 4000
+    assert len(list((tmp_path / "edges").glob("slide_id=*/*.parquet"))) <= 40
