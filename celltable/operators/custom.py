@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from celltable.operators.skew import in_blocks
+
 GROUP_FUNCTIONS: dict[str, Callable[[pd.DataFrame], pd.DataFrame]] = {}
 
 
@@ -18,13 +20,17 @@ def register(name: str, fn: Callable[[pd.DataFrame], pd.DataFrame]) -> None:
 def apply_groups(df: DataFrame, keys: list[str], fn: str | Callable, schema: str, max_rows: int = 1_000_000) -> DataFrame:
     """A pandas function per group, given itself or by registered name.
 
-    The function needs its whole group, so group sizes are checked first."""
+    The function needs its whole group, so group sizes are checked first.  Small groups share a task call."""
     if isinstance(fn, str):
         fn = GROUP_FUNCTIONS[fn]
     worst = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     if worst > max_rows:
         raise ValueError(f"a group has {worst} rows, more than {max_rows}")
-    return df.groupBy(*keys).applyInPandas(fn, schema)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([fn(g.reset_index(drop=True)) for _, g in pdf.groupby(keys, sort=False, dropna=False)], ignore_index=True)
+
+    return in_blocks(df, keys, run, schema)
 
 
 def score_batches(df: DataFrame, vec: str, score: Callable[[np.ndarray], np.ndarray], keep: list[str],

@@ -27,6 +27,18 @@ def test_a_slide_of_edges_is_written_by_few_tasks(spark, tmp_path):
     assert len(list((tmp_path / "edges").glob("slide_id=*/*.parquet"))) <= 40
 
 
+def test_small_groups_share_a_call_of_a_group_function(spark):
+    import os
+
+    import pandas as pd
+    from celltable.operators.custom import apply_groups
+    d = spark.range(3000).selectExpr("if(id % 1000 = 7, null, id % 1000) as k", "cast(id as double) as x")
+    fn = lambda g: pd.DataFrame({"k": [g["k"].iloc[0]], "first": [g.index[0]], "top": [g["x"].max()]})
+    assert "_block" in apply_groups(d, ["k"], fn, "k double, first bigint, top double")._jdf.queryExecution().analyzed().toString()
+    got = {r.k: (r.first, r.top) for r in apply_groups(d, ["k"], fn, "k double, first bigint, top double").toPandas().itertuples()}
+    assert len(got) == 1000 and all(f == 0 for f, _ in got.values()) and got[5.0][1] == 2005.0
+
+
 def test_parts_of_slides_come_in_many_files(spark, monkeypatch):
     from celltable.plans import q_records
     from celltable.plans.views import Views
