@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from celltable.operators.graph import component_sizes, components
-from celltable.operators.skew import in_blocks, prefix_agg, row_index, stable
+from celltable.operators.skew import group_rows, in_blocks, prefix_agg, row_index, stable
 from celltable.operators.spatial import join_boxes
 
 
@@ -64,8 +64,13 @@ def hungarian(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     flip = cost.shape[0] > cost.shape[1]
     c = cost.T if flip else cost
     n, m = c.shape
-    u, v, owner = np.zeros(n), np.zeros(m + 1), np.full(m + 1, -1)
-    for i in range(n):
+    if n == 0:
+        return np.zeros(0, int), np.zeros(0, int)
+    # the first row whose least cost is a column starts there; only the others need a search
+    u, v, owner = c.min(axis=1), np.zeros(m + 1), np.full(m + 1, -1)
+    taken, starts = np.unique(c.argmin(axis=1), return_index=True)
+    owner[taken] = starts
+    for i in np.setdiff1d(np.arange(n), starts):
         owner[m], j0 = i, m
         dist, prev, done = np.full(m, np.inf), np.full(m, m), np.zeros(m + 1, bool)
         while owner[j0] != -1:
@@ -171,27 +176,40 @@ def match_points(a: DataFrame, b: DataFrame, radius: float = 12.0, image: str =
     """Least-distance one-to-one matching over all points of an image, then pairs up to ``radius``.
 
     The assignment is one problem per image; its cost table is measured first and an
-    image beyond ``max_cells`` is refused rather than cut."""
+    image beyond ``max_cells`` is refused rather than cut.  Small images share a task call."""
     na = a.groupBy(image).agg(F.count(F.lit(1)).alias("na"))
     nb = b.groupBy(image).agg(F.count(F.lit(1)).alias("nb"))
     worst = na.join(nb, image).agg(F.max(F.col("na") * F.col("nb"))).first()[0] or 0
     if worst > max_cells:
         raise ValueError(f"an image needs a {worst}-cell cost table, more than {max_cells}")
 
-    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if len(x) == 0 or len(y) == 0:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        ids, x, y, second = (pdf[k].to_numpy() for k in ("id", "x", "y", "_second"))
+        rows, mate, dist = [], [], []
+        for at in group_rows(pdf, ["image"]):
+            i, j = at[~second[at]], at[second[at]]
+            if len(i) == 0 or len(j) == 0:
+                continue
+            c = np.hypot(x[i][:, None] - x[j], y[i][:, None] - y[j])
+            p, q = hungarian(c)
+            ok = c[p, q] <= radius
+            rows.append(i[p[ok]])
+            mate.append(j[q[ok]])
+            dist.append(c[p, q][ok])
+        if not rows:
             return pd.DataFrame({"image": [], "a": [], "b": [], "dist": []})
-        x, y = x.sort_values("id"), y.sort_values("id")
-        c = np.hypot(x["x"].to_numpy()[:, None] - y["x"].to_numpy(), x["y"].to_numpy()[:, None] - y["y"].to_numpy())
-        i, j = hungarian(c)
-        ok = c[i, j] <= radius
-        return pd.DataFrame({"image": x[image].iloc[0], "a": x["id"].to_numpy()[i[ok]], "b": y["id"].to_numpy()[j[ok]],
-                             "dist": c[i, j][ok]})
-
-    t = dict(a.dtypes)
-    schema = f"image {t[image]}, a {t['id']}, b {dict(b.dtypes)['id']}, dist double"
-    cols = [image, "id", "x", "y"]
-    return a.select(*cols).groupBy(image).cogroup(b.select(*cols).groupBy(image)).applyInPandas(run, schema)
+        i, j = np.concatenate(rows), np.concatenate(mate)
+        return pd.DataFrame({"image": pdf["image"].to_numpy()[i], "a": ids[i], "b": ids[j], "dist": np.concatenate(dist)})
+
+    # ids of two types travel as text
+    ta, tb = dict(a.dtypes)["id"], dict(b.dtypes)["id"]
+    side = lambda d, second: d.select(F.col(image).alias("image"), F.col("id").cast(ta if ta == tb else "string").alias("id"),
+                                      "x", "y", F.lit(second).alias("_second"))
+    both = side(a, False).unionByName(side(b, True))
+    t, kind = dict(both.dtypes)["image"], dict(both.dtypes)["id"]
+    got = in_blocks(both, ["image"], run, f"image {t}, a {kind}, b {kind}, dist double")
+    return got.select("image", F.col("a").cast(ta).alias("a"), F.col("b").cast(tb).alias("b"), "dist")
 
 
 def type_scores(pairs: DataFrame, lone_true: DataFrame, lone_pred: DataFrame, types: list[int],

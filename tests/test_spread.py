@@ -39,6 +39,26 @@ def test_small_groups_share_a_call_of_a_group_function(spark):
     assert len(got) == 1000 and all(f == 0 for f, _ in got.values()) and got[5.0][1] == 2005.0
 
 
+def test_points_of_small_images_share_a_call(spark):
+    import itertools
+
+    import numpy as np
+    from celltable.operators.segmentation import hungarian, match_points
+    rng = np.random.default_rng(3)
+    for n, m in ((5, 5), (3, 6), (6, 4), (0, 3)):
+        c = rng.integers(0, 4, (n, m)).astype(float)
+        i, j = hungarian(c)
+        small = c if n <= m else c.T
+        assert len(i) == min(n, m) == len(set(i)) == len(set(j))
+        assert c[i, j].sum() == min(sum(small[r, p[r]] for r in range(len(small))) for p in itertools.permutations(range(small.shape[1]), len(small)))
+    # both sides come from one table, as in matched_points
+    pts = spark.range(400).selectExpr("cast(id % 50 as string) as image", "id", "cast(floor(id / 50) as double) * 10 as x", "0D as y", "id >= 200 as later")
+    a, b = pts.filter("not later").drop("later"), pts.filter("later").withColumn("x", F.col("x") - 39).drop("later")
+    got = match_points(a, b)
+    assert "_block" in got._jdf.queryExecution().analyzed().toString()
+    assert sorted((r.a, r.b, r.dist) for r in got.collect()) == [(i, i + 200, 1.0) for i in range(200)]
+
+
 def test_parts_of_slides_come_in_many_files(spark, monkeypatch):
     from celltable.plans import q_records
     from celltable.plans.views import Views
