@@ -77,3 +77,13 @@ def test_parts_of_slides_come_in_many_files(spark, monkeypatch):
     files = spark.read.parquet(boxes[0]).select("slide_id", "part", F.input_file_name().alias("file")).distinct()
     # a part of a slide stays one file; a delivery is more than one file per part number
     assert files.groupBy("slide_id", "part").count().filter("count > 1").isEmpty() and files.select("file").distinct().count() > 3
+
+
+def test_communities_of_small_graphs_share_a_call(spark):
+    from celltable.operators.graph_kernels import louvain
+    # two triangles joined by one weak edge, fifty times
+    e = spark.sql("select cast(g.id as string) as slide_id, src, dst, w as weight from range(50) g, values (1,2,1D),(2,3,1D),(1,3,1D),(4,5,1D),(5,6,1D),(4,6,1D),(3,4,0.1D) v(src,dst,w)")
+    got = louvain(e, ["slide_id"])
+    assert "_block" in got._jdf.queryExecution().analyzed().toString()
+    parts = got.groupBy("slide_id", "community").agg(F.sort_array(F.collect_list("node")).alias("m")).collect()
+    assert len(parts) == 100 and {tuple(r.m) for r in parts} == {(1, 2, 3), (4, 5, 6)}
