@@ -166,12 +166,41 @@ def perplexities(docs: DataFrame, table: DataFrame, keep: list[str], most: int =
     return rows.join(more, ["_h1", "_h2"], "left").select(*keep, "n_bytes", F.when(F.col("n_bytes") > 0, F.exp(-total / F.col("n_bytes"))).alias("perplexity"))
 
 
+def with_trust(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(text, trusted) of every document; ``trusted`` holds distinct ids.
+
+    Texts are large, so only those are moved to meet the ids that a Bloom filter of them lets through: all trusted ones and
+    a few others, whom the join sorts out.  The filter has ten bits for an id and 2^25 in all (more ids let more texts through)."""
+    kind = docs.schema["doc_id"].dataType
+    ids = trusted.select(F.col("doc_id").try_cast(kind).alias("doc_id")).dropna()
+    size = 1 << min(25, max(6, (10 * ids.count()).bit_length()))
+    hashes = [F.xxhash64(F.lit(i), "doc_id").bitwiseAND(size - 1).alias(f"_h{i}") for i in range(4)]
+    words = (ids.select(F.explode(F.array(*hashes)).alias("at")).groupBy(F.shiftright("at", 5).alias("word"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("bits")).toArrow())
+    packed = np.zeros(size >> 5, np.int64)
+    packed[words["word"].to_numpy()] = words["bits"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(packed)
+
+    def sieve(wanted: bool):
+        def run(batches):
+            for b in batches:
+                passed = np.ones(b.num_rows, bool)
+                for i in range(4):
+                    at = b[f"_h{i}"].to_numpy()
+                    passed &= (shared.value[at >> 5] >> (at & 31)) & 1 == 1
+                yield b.select(["doc_id", "text"]).filter(pa.array(passed == wanted))
+        rows = docs.select("doc_id", "text", *hashes)
+        return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], rows.schema["text"]]))
+
+    # the same join at every size: a table of ids is never sent to all tasks
+    asked = sieve(True).join(trusted.hint("merge"), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    return asked.unionByName(sieve(False).select("text", F.lit(False).alias("trusted")))
+
+
 def quality(docs: DataFrame, trusted_ids: DataFrame, q: float = QUANTILE, most: int = HEAD) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity, threshold (of the language) and keep of every document."""
     trusted = trusted_ids.select("doc_id").dropna().distinct().withColumn("trusted", F.lit(True))
-    # the same join at every size: the texts are dealt by id once, and a table of ids is never sent to all tasks
-    marked = docs.select("doc_id", "text").join(trusted.hint("merge"), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    counts = saved(gram_counts(marked))
+    counts = saved(gram_counts(with_trust(docs, trusted)))
     table = saved(counts.select("gram", "n_all").join(log_probabilities(counts, model_tables(counts)), "gram"))
     scored = saved(perplexities(docs, table, ["doc_id", "lang"], most))
     good = scored.join(trusted.select("doc_id"), "doc_id", "left_semi").filter("perplexity is not null")

@@ -59,6 +59,16 @@ def test_points_of_small_images_share_a_call(spark):
     assert sorted((r.a, r.b, r.dist) for r in got.collect()) == [(i, i + 200, 1.0) for i in range(200)]
 
 
+def test_only_texts_that_may_be_trusted_are_moved(spark):
+    from celltable.llm.kneser_ney import with_trust
+    docs = spark.range(2000).selectExpr("if(id = 3, null, cast(id as int)) as doc_id", "concat('text ', id) as text")
+    trusted = spark.range(0, 4000, 10).selectExpr("id as doc_id", "true as trusted")
+    got = with_trust(docs, trusted)
+    assert {r.text for r in got.filter("trusted").collect()} == {f"text {i}" for i in range(0, 2000, 10)}
+    assert got.count() == 2000 and got.select("text").distinct().count() == 2000
+    assert with_trust(docs, trusted.limit(0)).filter("not trusted").count() == 2000
+
+
 def test_parts_of_slides_come_in_many_files(spark, monkeypatch):
     from celltable.plans import q_records
     from celltable.plans.views import Views
