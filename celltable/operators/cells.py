@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from celltable.functions import columns as C
 from celltable.functions.columns import CELL_TYPES, MARKERS
-from celltable.operators.skew import join_same, quantiles
+from celltable.operators.skew import has_hot_group, join_same, quantiles
 
 SLIDE = ["slide_id"]
 CORE = ["cell_id", "x", "y", "nucleus_area"]
@@ -40,15 +40,19 @@ def thresholds(cells: DataFrame, markers: list[str] = MARKERS, q_low: float = 0.
     """Weak and strong cut per slide and marker (one row per slide), plus ``DAPI_low``.
 
     Fixed values win over quantiles and strong is never below weak."""
-    fixed = fixed or {}
     q = quantiles(cells, SLIDE, markers, [q_low, q_high, dapi_q], split=split)
-    out = [F.col("slide_id")]
+    return q.select("slide_id", *cut_columns(markers, fixed))
+
+
+def cut_columns(markers: list[str], fixed: dict[str, dict[str, float]] | None = None) -> list[Column]:
+    """Cut columns from the quantile arrays ``<m>_q``: low, high and the one for dim cells."""
+    fixed, out = fixed or {}, []
     for m in markers:
         f = fixed.get(m, {})
         weak = F.lit(float(f["weak"])) if "weak" in f else F.col(f"{m}_q")[0]
         strong = F.lit(float(f["strong"])) if "strong" in f else F.col(f"{m}_q")[1]
         out += [weak.alias(f"{m}_weak"), F.greatest(weak, strong).alias(f"{m}_strong_cut")]
-    return q.select(*out, *([F.col("DAPI_q")[2].alias("DAPI_low")] if "DAPI" in markers else []))
+    return out + ([F.col("DAPI_q")[2].alias("DAPI_low")] if "DAPI" in markers else [])
 
 
 def flag_markers(cells: DataFrame, cuts: DataFrame, markers: list[str] = MARKERS) -> DataFrame:
@@ -56,6 +60,11 @@ def flag_markers(cells: DataFrame, cuts: DataFrame, markers: list[str] = MARKERS
 
     The cut table has one row per slide and is joined without a hint: AQE
     broadcasts it when its measured size is small and splits a hot slide if not."""
+    return flagged(join_same(cells, cuts, SLIDE), markers)
+
+
+def flagged(cells: DataFrame, markers: list[str] = MARKERS) -> DataFrame:
+    """The flags of cells that carry the cuts of their slide."""
     def flag(m: str, cut: str) -> Column:
         return F.coalesce(F.col(m) >= F.col(cut), F.lit(False)).cast("int")
 
@@ -63,8 +72,7 @@ def flag_markers(cells: DataFrame, cuts: DataFrame, markers: list[str] = MARKERS
     for m in markers:
         cols[f"{m}_pos"] = flag(m, f"{m}_weak")
         cols[f"{m}_strong"] = flag(m, f"{m}_strong_cut")
-    return (join_same(cells, cuts, SLIDE).withColumns(cols)
-            .drop(*[f"{m}_weak" for m in markers], *[f"{m}_strong_cut" for m in markers]))
+    return cells.withColumns(cols).drop(*[f"{m}_weak" for m in markers], *[f"{m}_strong_cut" for m in markers])
 
 
 def retype(flagged: DataFrame) -> DataFrame:
@@ -94,6 +102,17 @@ def typed_cells(cells: DataFrame, **threshold_args) -> DataFrame:
     return retype(flag_markers(cells, thresholds(cells, **threshold_args)))
 
 
+def typed_by_slide(cells: DataFrame, markers: list[str] = MARKERS, q_low: float = 0.6, q_high: float = 0.85,
+                   fixed: dict[str, dict[str, float]] | None = None, dapi_q: float = 0.2) -> DataFrame:
+    """``typed_cells`` while every slide fits one task: one shuffle brings a slide's rows together, and whatever groups
+    them by slide, or by more, needs no other.  With a hot slide the cuts are joined instead."""
+    if has_hot_group(cells, SLIDE):
+        return typed_cells(cells, markers=markers, q_low=q_low, q_high=q_high, fixed=fixed, dapi_q=dapi_q)
+    w = Window.partitionBy(*SLIDE)
+    q = cells.withColumns({f"{m}_q": F.percentile(m, [float(q_low), float(q_high), float(dapi_q)]).over(w) for m in markers})
+    return retype(flagged(q.select(*cells.columns, *cut_columns(markers, fixed)), markers))
+
+
 def type_fixed(cells: DataFrame, cuts: dict[str, float] | None = None, out: str = "cell_type") -> DataFrame:
     """Type by fixed cuts (strictly greater, default 13 for every marker)."""
     cuts = cuts or {}

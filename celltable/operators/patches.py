@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from celltable.functions import columns as C
 from celltable.functions.columns import CELL_TYPES, COEXPRESSION_PAIRS, MARKERS
-from celltable.operators.skew import group_mad, has_hot_group, join_same, quantiles
+from celltable.operators.skew import deviation, group_mad, has_hot_group, join_same, pick, quantiles
 
 PATCH = ["slide_id", "patch_id"]
 EPS = 1e-6
@@ -102,12 +102,16 @@ def ratios(feats: DataFrame) -> DataFrame:
         "CD8_to_suppressive_ratio": (cd8 + EPS) / (treg + mac + EPS)})
 
 
-def immunoscore(feats: DataFrame) -> DataFrame:
+def immunoscore(feats: DataFrame, by_slide: bool = False) -> DataFrame:
     """Sum of the CD3 and CD8 positivity z-scores over the patches of a slide.
 
-    Slide moments are aggregated (map-side combined) and joined back, not
-    computed in a per-slide window, so a slide with most patches is no hot task."""
+    Slide moments are aggregated (map-side combined) and joined back, so a slide with most patches is no hot task;
+    ``by_slide`` takes a window instead, for slides that fit one task and lie together already."""
     rates = ["CD3_pos_rate", "CD8_pos_rate"]
+    if by_slide:
+        w = Window.partitionBy("slide_id")
+        z = [(F.col(r) - F.avg(r).over(w)) / (F.stddev_samp(r).over(w) + EPS) for r in rates]
+        return feats.withColumn("immunoscore_proxy", z[0] + z[1])
     m = feats.groupBy("slide_id").agg(*[e for r in rates for e in (
         F.avg(r).alias(f"{r}_m"), F.stddev_samp(r).alias(f"{r}_s"))])
     z = [(F.col(r) - F.col(f"{r}_m")) / (F.col(f"{r}_s") + EPS) for r in rates]
@@ -131,24 +135,29 @@ def composition_report(typed: DataFrame) -> DataFrame:
 def patch_features(typed: DataFrame, markers: list[str] = MARKERS, split: bool | None = None) -> DataFrame:
     """The wide patch table: area, composition, marker statistics, co-positivity,
     per-cell variance summaries, immunoscore and ratios."""
-    d = with_patch(typed)
+    d = typed if "patch_id" in typed.columns else with_patch(typed)
     var = [f"{m}_var" for m in markers if f"{m}_var" in d.columns]
+    # a slide that fits one task has no hot patch either
+    by_slide = split is None and not has_hot_group(d, ["slide_id"])
     if split is None:
-        split = has_hot_group(d, PATCH)
+        split = not by_slide and has_hot_group(d, PATCH)
     cols = ["nucleus_area", *markers]
     raw = d.select(*PATCH, *cols, *var)
-    base = d if split else d.repartition(*PATCH)
-    # without a hot patch the quantiles ride in the same aggregate as everything else
-    inline = [] if split else [F.percentile(c, PROBS).alias(f"{c}_q") for c in [*cols, *var]]
+    base = d if split or by_slide else d.repartition(*PATCH)
+    # without a hot patch the values ride in the same aggregate as everything else
+    inline = [] if split else [F.sort_array(F.collect_list(F.col(c).cast("double"))).alias(f"{c}_v") for c in [*cols, *var]]
     base = base.groupBy(*PATCH).agg(
         F.count(F.lit(1)).alias("n_cells"), *area_aggs(),
         *[F.count_if(F.col("cell_type_retyped") == t).alias(f"type_count__{t}") for t in CELL_TYPES],
         *marker_moments(markers), *positivity_rates(markers), *coexpression(),
         *[e for v in var for e in (F.avg(v).alias(f"{v}__mean"), F.stddev_samp(v).alias(f"{v}__sd"))], *inline)
-    q = quantiles(raw, PATCH, [*cols, *var], PROBS, split=True) if split else quantiles(raw, PATCH, cols, [0.5], split=False)
-    med = q.select(*PATCH, *[F.element_at(f"{c}_q", 3 if split else 1).alias(f"{c}_med") for c in cols])
-    f = join_same(base, q, PATCH) if split else base
-    f = join_same(f, group_mad(raw.select(*PATCH, *cols), PATCH, cols, med, split=split), PATCH)
+    if split:
+        q = quantiles(raw, PATCH, [*cols, *var], PROBS, split=True)
+        med = q.select(*PATCH, *[F.col(f"{c}_q")[2].alias(f"{c}_med") for c in cols])
+        f = join_same(join_same(base, q, PATCH), group_mad(raw.select(*PATCH, *cols), PATCH, cols, med, split=True), PATCH)
+    else:
+        f = base.withColumns({f"{c}_q": F.array(*[pick(F.col(f"{c}_v"), p) for p in PROBS]) for c in [*cols, *var]})
+        f = f.withColumns({f"{c}_mad": deviation(F.col(f"{c}_v"), F.col(f"{c}_q")[2]) for c in cols}).drop(*[f"{c}_v" for c in [*cols, *var]])
     names = ["p10", "p25", "med", "p75", "p90"]
     f = f.withColumns({f"{c}_{n}": F.col(f"{c}_q")[i] for c in cols for i, n in enumerate(names)})
     f = f.withColumns({**{f"{c}_iqr": F.col(f"{c}_p75") - F.col(f"{c}_p25") for c in cols},
@@ -157,7 +166,7 @@ def patch_features(typed: DataFrame, markers: list[str] = MARKERS, split: bool |
         "cell_density_proxy": F.col("n_cells") / (F.col("nucleus_area_sum") + EPS),
         **{f"type_frac__{t}": F.col(f"type_count__{t}") / F.col("n_cells") for t in CELL_TYPES},
         "type_entropy": C.entropy2([F.col(f"type_count__{t}") for t in CELL_TYPES])})
-    f = ratios(immunoscore(f))
+    f = ratios(immunoscore(f, by_slide))
     order = ["n_cells", "nucleus_area_sum", "nucleus_area_mean", F.col("nucleus_area_med").alias("nucleus_area_median"),
              "nucleus_area_sd", "nucleus_area_mad", "nucleus_area_iqr", "cell_density_proxy"]
     for t in CELL_TYPES:

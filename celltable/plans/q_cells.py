@@ -52,6 +52,11 @@ def typed(v):
     return K.typed_cells(cells(v))
 
 
+def patched(v):
+    """Typed cells with their patch, each slide's rows together; the patch is read off first, so cell ids need not move."""
+    return K.typed_by_slide(P.with_patch(cells(v)))
+
+
 COMP = ", ".join(f"""count(*) filter (where cell_type_retyped = '{t}') as "type_count__{t}" """ for t in CELL_TYPES)
 FRAC = ", ".join(f'"type_count__{t}"/n_cells as "type_frac__{t}"' for t in CELL_TYPES)
 ENT = "-(" + "+".join(
@@ -244,7 +249,7 @@ PATCH_BODY, PATCH_DOUBLES, PATCH_CTES = _patch_sql()
 @query("patch_features", "AGG-02 AGG-03 AGG-04 AGG-05 AGG-06 AGG-07 AGG-08 AGG-11 AGG-12 AGG-13 AGG-14 AGG-15 SNK-03",
        sql_r6(typed_sql(PATCH_BODY, PATCH_CTES), PATCH_DOUBLES))
 def patch_features(v):
-    return r6(P.patch_features(typed(v)))
+    return r6(P.patch_features(patched(v)))
 
 
 PATCH_INTS = ["n_cells", *[f"type_count__{t}" for t in CELL_TYPES]]
@@ -254,7 +259,7 @@ PATCH_INTS = ["n_cells", *[f"type_count__{t}" for t in CELL_TYPES]]
     typed_sql("select slide_id, " + ", ".join(f'avg("{c}") as "{c}"' for c in [*PATCH_INTS, *PATCH_DOUBLES])
               + f" from ({PATCH_BODY}) group by slide_id", PATCH_CTES), [*PATCH_INTS, *PATCH_DOUBLES]))
 def slide_rollup(v):
-    return r6(P.slide_features(P.patch_features(typed(v))))
+    return r6(P.slide_features(P.patch_features(patched(v))))
 
 
 @query("area_summary", "AGG-20 AGG-02", sql_r6(with_views("cells", f"""

@@ -1,5 +1,7 @@
 """Plans that must hold when the tables grow: what is sent through the driver, and how often rows are shuffled."""
 
+from pyspark.sql import functions as F
+
 from celltable.plans.views import Views
 
 D = "/root/testdata/sf0.001"
@@ -73,3 +75,29 @@ def test_nearest_neighbours_are_found_across_buckets_and_shuffled_once(spark):
     got = knn_edges(pts, ["g"], 3, "i", start_radius=5.0)
     assert {(r.src, r.dst) for r in got.collect()} == want
     assert "Join" not in plan(got)
+
+
+def test_patch_tables_move_the_cells_once(spark):
+    import __spark_entry__ as e
+    # cuts, patch statistics, deviations and slide moments all sit behind the one shuffle by slide
+    for name in ("patch_features", "slide_rollup"):
+        assert "Join" not in plan(e.queries()[name](spark, D)), name
+
+
+def test_patch_table_is_the_same_with_and_without_a_hot_slide(spark):
+    from celltable.operators import cells as K, patches as P
+    from celltable.operators.skew import GROUP_LIMIT
+    from celltable.plans import q_cells
+    d = P.with_patch(q_cells.cells(Views(spark, D))).filter("slide_id < '5' or slide_id is null")
+    d = d.withColumn("slide_id", F.when(F.col("slide_id") != "1", F.col("slide_id"))).withColumn("CD8", F.when(F.col("slide_id") != "2", F.col("CD8")))
+
+    def rows():
+        f = P.patch_features(K.typed_by_slide(d)).orderBy("slide_id", "patch_id")
+        return [tuple(round(x, 7) if isinstance(x, float) else x for x in r) for r in f.collect()]
+
+    one = rows()
+    spark.conf.set("spark.celltable.maxGroupRows", "100")
+    try:
+        assert len(one) > 9 and one == rows()
+    finally:
+        spark.conf.set("spark.celltable.maxGroupRows", str(GROUP_LIMIT))
