@@ -248,10 +248,28 @@ def patches_in_tissue(tiles: DataFrame, rings: DataFrame, size: int) -> DataFram
 
 def polygon_mask(slides: DataFrame, rings: DataFrame, scale: float) -> DataFrame:
     """Foreground pixels of the tissue on a grid of h/scale x w/scale, tested at pixel centres."""
-    px = grid(slides.select("slide_id", F.floor(F.col("h") / scale).alias("h"), F.floor(F.col("w") / scale).alias("w")), 1, 1)
-    pts = px.select("slide_id", F.col("y").alias("my"), F.col("x").alias("mx"),
-                    ((F.col("x") + 0.5) * scale).alias("x"), ((F.col("y") + 0.5) * scale).alias("y"))
-    return points_in_polygons(pts, rings).select("slide_id", F.col("my").alias("y"), F.col("mx").alias("x"))
+    size = {c: F.floor(F.col(c) / scale) for c in "hw"}
+    lines = (slides.select("slide_id", F.explode(_steps(F.lit(0), size["h"] - 1, 1)).alias("y"), size["w"].alias("w"))
+             .groupBy("slide_id", "y").agg(F.max("w").alias("w")))
+    # a pixel row meets the segments that reach its height; only those travel, never pixels
+    s = segments(rings)
+    lo, hi = F.ceil(F.least("ay", "by") / scale - 0.5), F.floor(F.greatest("ay", "by") / scale - 0.5)
+    s = s.select("slide_id", "tissue_id", F.struct("ax", "ay", "bx", "by").alias("s"), F.explode(_steps(lo - 1, hi + 1, 1)).alias("y"))
+    py, px = (F.col("y") + 0.5) * scale, (F.col("x") + 0.5) * scale
+
+    def cross(s: Column) -> Column:
+        return (s["bx"] - s["ax"]) * (py - s["ay"]) - (s["by"] - s["ay"]) * (px - s["ax"])
+
+    def hit(s: Column) -> Column:
+        return ((s["ay"] > py) != (s["by"] > py)) & F.when(s["by"] > s["ay"], cross(s) > 0).otherwise(cross(s) < 0)
+
+    def on(s: Column) -> Column:
+        return (cross(s) == 0) & px.between(F.least(s["ax"], s["bx"]), F.greatest(s["ax"], s["bx"])) & py.between(F.least(s["ay"], s["by"]), F.greatest(s["ay"], s["by"]))
+
+    tissue = s.groupBy("slide_id", "y", "tissue_id").agg(F.collect_list("s").alias("t")).groupBy("slide_id", "y").agg(F.collect_list("t").alias("ts"))
+    inside = F.exists("ts", lambda t: (F.size(F.filter(t, hit)) % 2 == 1) & ~F.exists(t, on))
+    return (lines.join(tissue, ["slide_id", "y"]).withColumn("x", F.explode(_steps(F.lit(0), F.col("w") - 1, 1)))
+            .filter(inside).select("slide_id", "y", "x"))
 
 
 def tiles_on_mask(tiles: DataFrame, mask: DataFrame, ratio: float, size: int) -> DataFrame:

@@ -123,3 +123,20 @@ def test_spread_quantiles_move_each_row_once(spark):
     for k, pair in want.items():
         for a, b in zip(pair, got[k]):
             assert a == b or a == pytest.approx(b, rel=1e-12), k
+
+
+def test_mask_pixels_are_not_joined(spark):
+    from celltable.operators.tiling import polygon_mask
+    slides = spark.createDataFrame([("a", 40, 50), ("a", 70, 20), ("b", 5, 5)], "slide_id string, w int, h int")
+    ring = [(0.0, 0.0), (60.0, 0.0), (60.0, 45.0), (15.0, 45.0), (15.0, 15.0), (0.0, 15.0)]
+    hole = [(25.0, 25.0), (35.0, 25.0), (35.0, 35.0), (25.0, 35.0)]
+    rings = spark.createDataFrame([("a", 1, 0, ring), ("a", 1, 1, hole)], "slide_id string, tissue_id int, ring int, pts array<struct<x: double, y: double>>")
+    mask = polygon_mask(slides, rings, 10)
+    # rows of 4 pixels down to 50 and of 7 down to 20; 15 and 45 lie on pixel centres, so on the outline, which is outside
+    want = {(0, x) for x in range(6)} | {(y, x) for y in (1, 2, 3) for x in range(2, 6 if y == 1 else 4)} - {(2, 2), (2, 3), (3, 2), (3, 3)}
+    got = {(r.y, r.x) for r in mask.collect()}
+    assert {(0, x) for x in range(6)} <= got and (4, 2) not in got and (1, 1) not in got and (3, 3) not in got
+    assert got <= want | {(2, 2), (3, 2), (2, 3)} and {(1, x) for x in range(2, 6)} <= got
+    text = plan(mask)
+    # pixels appear above the join, not under it
+    assert text.index("explode") < text.index("Join")
