@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from celltable.operators.graph import component_sizes, components
-from celltable.operators.skew import group_rows, in_blocks, prefix_agg, row_index, stable
+from celltable.operators.graph import components
+from celltable.operators.skew import group_rows, in_blocks, prefix_agg, row_index, stable, stored
 from celltable.operators.spatial import join_boxes
 
 
@@ -250,25 +250,51 @@ def type_score_job(true_pts: DataFrame, pred_pts: DataFrame, types: list[int], r
 
 # ---- regions ------------------------------------------------------------------------
 
+def region_runs(px: DataFrame, connectivity: int = 8, min_size: int = 0, keys: list[str] = ["img"],
+                same: str | None = None, cell: int = 64) -> DataFrame:
+    """Connected regions as runs of pixels: keys, y, x0, x1 (both inside), again (the x that occur more than once, for each
+    repeat), region (named by its first pixel), size.
+
+    A run is a row's unbroken stretch of pixels (of one label, with ``same``).  Runs of adjacent rows are linked where they
+    meet, on grid cells of width ``cell``, so a link is made for each pair of runs, not of pixels.  A pixel without a place is in
+    no region; one without a label is its own."""
+    if connectivity not in (4, 8):
+        raise ValueError("connectivity must be 4 or 8")
+    extra = [same] if same else []
+    row = [*keys, *extra, "y"]
+    d = px.select(*keys, *extra, F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x")).filter("y is not null and x is not null")
+    w = Window.partitionBy(*row).orderBy("x")
+    # x grows with its rank as long as no pixel is left out
+    stretch = F.col("x") - F.dense_rank().over(w)
+    d = d.withColumns({"_run": F.when(F.col(same).isNull(), F.col("x")).otherwise(stretch) if same else stretch,
+                       "_again": F.when(F.lag("x").over(w) == F.col("x"), F.col("x"))})
+    runs = stored(d.groupBy(*row, "_run").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.collect_list("_again").alias("again"))
+                  .withColumn("node", F.col("y") * F.lit(1 << 24) + F.col("x0")).drop("_run"))
+    reach = 1 if connectivity == 8 else 0
+
+    def laid(y: Column, lo: Column, hi: Column, end: str) -> DataFrame:
+        return runs.select(*keys, *extra, y.alias("y"), lo.alias(f"lo_{end}"), hi.alias(f"hi_{end}"), F.col("node").alias(end),
+                           F.explode(F.sequence(F.floor(lo / cell), F.floor(hi / cell))).alias("_at"))
+
+    x0, x1 = F.col("x0"), F.col("x1")
+    e = laid(F.col("y") + 1, x0 - reach, x1 + reach, "src").join(laid(F.col("y"), x0, x1, "dst"), [*row, "_at"])
+    # two runs that meet in several cells are linked in the first
+    start = F.greatest("lo_src", "lo_dst")
+    e = e.filter((start <= F.least("hi_src", "hi_dst")) & (F.floor(start / cell) == F.col("_at"))).select(*keys, "src", "dst")
+    nodes = runs.select(*keys, "node")
+    comp = components(nodes.distinct() if same else nodes, e, keys, "node").withColumnRenamed("component", "region")
+    named = stored(runs.join(comp, [*keys, "node"]).select(*keys, "y", "x0", "x1", "again", "region"))
+    size = named.groupBy(*keys, "region").agg(F.sum(F.col("x1") - F.col("x0") + 1 + F.size("again")).alias("size"))
+    return named.join(size.filter(F.col("size") >= min_size), [*keys, "region"]).select(*keys, "y", "x0", "x1", "again", "region", "size")
+
+
 def label_regions(px: DataFrame, connectivity: int = 8, min_size: int = 0, keys: list[str] = ["img"],
                   same: str | None = None) -> DataFrame:
     """Connected regions of foreground pixels: keys, y, x, region (named by its first
     pixel), size.  ``same`` restricts links to pixels of one label, which splits a
     label into its connected parts."""
-    if connectivity not in (4, 8):
-        raise ValueError("connectivity must be 4 or 8")
-    steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connectivity == 8 else [])
-    extra = [same] if same else []
-    pid = F.col("y") * F.lit(1 << 24) + F.col("x")
-    d = px.select(*keys, F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x"), *extra).withColumn("pid", pid)
-    nb = d.withColumn("_o", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in steps])))
-    nb = nb.select(*keys, *extra, F.col("pid").alias("src"), (F.col("y") + F.col("_o.a")).alias("y"), (F.col("x") + F.col("_o.b")).alias("x"))
-    e = nb.join(d.select(*keys, *extra, "y", "x", F.col("pid").alias("dst")), [*keys, *extra, "y", "x"]).select(*keys, "src", "dst")
-    comp = stable(components(d, e, keys, "pid"))
-    size = component_sizes(comp, keys).filter(F.col("size") >= min_size)
-    return comp.join(size, [*keys, "component"]).select(
-        *keys, F.floor(F.col("node") / (1 << 24)).alias("y"), (F.col("node") % (1 << 24)).alias("x"),
-        F.col("component").alias("region"), "size")
+    runs = region_runs(px, connectivity, min_size, keys, same)
+    return runs.select(*keys, "y", F.explode(F.concat(F.sequence("x0", "x1"), "again")).alias("x"), "region", "size")
 
 
 def region_props(px: DataFrame, label: str, channels: list[str], offset: tuple[int, int] = (0, 0)) -> DataFrame:

@@ -144,8 +144,8 @@ REGION_REACH = {"fg": "select img, y, x, y*16777216+x as pid from labels_px wher
 def mask_regions(v):
     # gaps of two pixels separate the squares of either map, so an overlap is one region
     d = v.labels_px.filter("true_id > 0 and pred_id > 0").select("img", "y", "x")
-    r = S.label_regions(d, connectivity=4, min_size=5)
-    return r.groupBy("img", "region", "size").agg(F.min("y").alias("y0"), F.min("x").alias("x0"))
+    r = S.region_runs(d, connectivity=4, min_size=5)
+    return r.groupBy("img", "region", "size").agg(F.min("y").alias("y0"), F.min("x0").alias("x0"))
 
 
 BOXES = "select distinct img, 1 as box, 10+nk%7 as x0, 26+nk%7 as x1, 6 as y0, 34 as y1 from labels_px"

@@ -195,3 +195,44 @@ def test_regions_by_connectivity(spark):
     assert SEG.label_regions(d, 8).select("region").distinct().count() == 2
     assert SEG.label_regions(d, 4).select("region").distinct().count() == 3
     assert SEG.label_regions(d, 8, min_size=2).count() == 2
+
+
+def _regions(px, connectivity, label):
+    """{(img, y, x): (region, size)} by search from pixel to pixel."""
+    steps = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if abs(a) + abs(b) in ((1, 2) if connectivity == 8 else (1,))]
+    out = {}
+    for start in sorted(px):
+        if start in out:
+            continue
+        part, todo = {start}, [start]
+        while todo:
+            g, y, x = todo.pop()
+            near = [(g, y + a, x + b) for a, b in steps if (g, y + a, x + b) in px]
+            near = [p for p in near if p not in part and (not label or px[p] == px[g, y, x] is not None)]
+            part |= set(near)
+            todo += near
+        out |= {p: (min(part)[1] * (1 << 24) + min(part)[2], len(part)) for p in part}
+    return out
+
+
+def test_regions_are_linked_by_runs(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    px = {(g, int(y), int(x)): int(t) for g in (1, 2) for (y, x), t in np.ndenumerate(rng.integers(0, 3, (14, 300))) if t or y == 7}
+    d = spark.createDataFrame([(*p, t) for p, t in px.items()], "img int, y int, x int, t int")
+    seen, whole = [], SEG.components
+    monkeypatch.setattr(SEG, "components", lambda n, e, *a: seen.append((n.count(), e.count())) or whole(n, e, *a))
+    for c in (4, 8):
+        for label in (None, "t"):
+            got = SEG.label_regions(d, c, same=label).collect()
+            assert {(r.img, r.y, r.x): (r.region, r["size"]) for r in got} == _regions(px, c, label) and len(got) == len(px)
+    runs = sum((g, y, x - 1) not in px for g, y, x in px)
+    assert seen[0][0] == runs and seen[0][1] <= 2 * runs < len(px)
+
+
+def test_regions_of_odd_pixels(spark):
+    d = spark.createDataFrame([(1, 0, 0, 1), (1, 0, 1, 1), (1, 0, 1, 1), (1, 0, 1, 1), (1, 1, -1, None), (1, 1, 0, None), (1, None, 3, 1), (1, 4, None, 1)],
+                              "img int, y int, x int, t int")
+    rows = lambda r: sorted((p.y, p.x, p.region, p["size"]) for p in r.collect())
+    assert rows(SEG.label_regions(d, 4)) == [(0, 0, 0, 6), *[(0, 1, 0, 6)] * 3, (1, -1, 0, 6), (1, 0, 0, 6)]
+    assert rows(SEG.label_regions(d, 4, same="t")) == [(0, 0, 0, 4), *[(0, 1, 0, 4)] * 3, (1, -1, 2**24 - 1, 1), (1, 0, 2**24, 1)]
+    assert SEG.label_regions(d.filter("x > 9")).count() == 0
