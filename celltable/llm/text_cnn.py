@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from celltable.llm.sampling import balanced
-from celltable.llm.store import saved, with_own
+from celltable.llm.store import quoted, saved
 from celltable.llm.words import byte_classes, lower_table, pieces, prefixes, split_words, text_bytes
 
 BUCKET_BITS, DIM, FILTERS, WIDTHS = 16, 8, 8, (1, 2, 3)
@@ -334,12 +334,14 @@ def scored_with(docs: DataFrame, labels: DataFrame, learn_from: Column, keep: li
 
 
 def _read(docs: DataFrame, keep: list[str], text_col: str, out: str, judge) -> DataFrame:
-    df = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("_text"))
-    schema = T.StructType([f for f in df.schema.fields if f.name != "_text"] + [T.StructField(out, T.DoubleType())])
+    # a text that is kept travels once
+    text = text_col if text_col in keep else "_text"
+    df = docs.select(*[F.col(c) for c in keep], *([] if text in keep else [F.col(text_col).alias(text)]))
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(out, T.DoubleType())])
 
     def run(batches):
         for b in batches:
-            data, off = text_bytes(b["_text"])
+            data, off = text_bytes(b[text])
             for lo, hi in pieces(off, 1 << 20):
                 ids, first = bucket_ids(data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
                 part = b.slice(lo, hi - lo)
@@ -368,5 +370,7 @@ def threshold_of(net: TextCnn, lang: Column) -> Column:
 
 def without_toxic(docs: DataFrame, labels: DataFrame, learn_from: Column) -> DataFrame:
     """The documents, with their own columns, whose score is below the threshold of their language."""
-    scored, _ = scored_with(with_own(docs, "doc_id", "text", "lang"), labels, learn_from, ["own", "doc_id", "lang"])
-    return scored.filter(F.col("score") < F.col("threshold")).select("own.*")
+    rest = [F.col(quoted(c)) for c in docs.columns if c != "text"]
+    own = docs.select(F.struct(*rest).alias("own"), "doc_id", "text", "lang")
+    scored, _ = scored_with(own, labels, learn_from, ["own", "doc_id", "lang", "text"])
+    return scored.filter(F.col("score") < F.col("threshold")).select(*[F.col("text") if c == "text" else F.col("own").getField(c).alias(c) for c in docs.columns])

@@ -344,3 +344,26 @@ def test_no_group_of_unlinked_likes_is_large(spark, monkeypatch):
     linked = got.filter("doc_id <> component_id").count()
     assert linked < 300 and len(counts) == 2
     assert max(max(c) for c in counts) <= 8 * jaccard_join.BAG_ROWS
+
+
+def test_sets_of_a_batch_are_made_in_bounded_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Sent:  # what Spark would run on its batches
+        select = lambda self, *c: self
+        mapInArrow = lambda self, run, kind: run
+
+    texts = [prose(i, 4000, 9000) for i in range(400)] + [None, "", "a b"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    run = jaccard_join.set_table(Sent(), 5)
+    tracemalloc.start()
+    got = pa.Table.from_batches(run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    data, off = text_bytes(batch["text"])
+    row, h = jaccard_join.shingles(data, off, 5)
+    assert got["n_shingles"].to_pylist() == np.bincount(row, minlength=len(texts)).tolist() and got["n_shingles"].to_pylist()[-3:] == [0, 0, 1]
+    assert np.array_equal((got["a"].to_numpy(), got["b"].to_numpy()), jaccard_join._set_prints(row, h, len(texts)))
+    assert peak < 6 * len(data)  # once all words of a batch were held together

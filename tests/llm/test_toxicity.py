@@ -73,3 +73,12 @@ def test_a_rare_language_has_its_own_threshold(spark):
         assert sum((x["score"] >= x["threshold"]) == (x["doc_id"] in bad) for x in mine) > 0.95 * len(mine)
     same = {x["doc_id"]: x["score"] for x in text_cnn.with_score(docs, net, ["doc_id"]).collect()}
     assert all(abs(same[x["doc_id"]] - x["score"]) < 1e-9 for x in got)
+
+
+def test_a_kept_text_travels_once(spark, edge):
+    net = text_cnn.TextCnn(np.zeros(1 << text_cnn.BUCKET_BITS, np.int32), np.zeros((1, text_cnn.DIM), np.float32), [], [], np.zeros(0), np.zeros(1), base=0.5)
+    sent = text_cnn.with_logit(edge.select("doc_id", "text"), net, ["doc_id", "text"])
+    assert sent.columns == ["doc_id", "text", "logit"] and "AS _text" not in sent._jdf.queryExecution().optimizedPlan().toString()
+    labels = spark.createDataFrame([], "doc_id bigint, toxic int")
+    kept = text_cnn.without_toxic(edge, labels, F.lit(True))
+    assert kept.schema == edge.schema and sorted(map(repr, kept.collect())) == sorted(map(repr, edge.collect()))
