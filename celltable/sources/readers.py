@@ -91,12 +91,14 @@ def explode_nuclei(df: DataFrame) -> DataFrame:
                     "n.type", "n.type_prob", "n.bbox", "n.contour")
 
 
-def read_nuclei(spark: SparkSession, path: str, slide: str = r"([^/]+)\.json$", multi_line: bool = True) -> DataFrame:
-    """Nuclei JSON files, one row per nucleus, with ``slide_id`` from the file path by the pattern ``slide``.
+def read_nuclei(spark: SparkSession, path: str, slide: str | None = r"([^/]+)\.json$", multi_line: bool = True) -> DataFrame:
+    """Nuclei JSON files, one row per nucleus, with ``slide_id`` from the file path by the pattern ``slide``; without one, from
+    the objects themselves, so that many slides can share a file.
 
     A file holds one object, or with ``multi_line=False`` one object per line, which Spark can split over tasks."""
-    d = spark.read.schema(NUCLEI).option("multiLine", multi_line).option("recursiveFileLookup", True).json(path)
-    return explode_nuclei(d.select(slide_of_file(slide).alias("slide_id"), "mag", "nuc"))
+    schema = NUCLEI if slide else f"slide_id string, {NUCLEI}"
+    d = spark.read.schema(schema).option("multiLine", multi_line).option("recursiveFileLookup", True).json(path)
+    return explode_nuclei(d.select(slide_of_file(slide).alias("slide_id") if slide else "slide_id", "mag", "nuc"))
 
 
 def type_lookup(spark: SparkSession, params: dict, n_types: int | None = None) -> DataFrame:

@@ -140,3 +140,15 @@ def test_mask_pixels_are_not_joined(spark):
     text = plan(mask)
     # pixels appear above the join, not under it
     assert text.index("explode") < text.index("Join")
+
+
+def test_nuclei_files_do_not_grow_in_number_with_the_slides(spark):
+    import os
+
+    import __spark_entry__ as e
+    d = e.queries()["nuclei_rows"](spark, D)
+    folders = {os.path.dirname(f) for f in d.inputFiles()}
+    assert len(folders) == 1 and len(d.inputFiles()) < d.select("slide_id").distinct().count()
+    assert d.count() == Views(spark, D).lineitem.count()
+    # a slide lies in one file
+    assert d.select("slide_id", F.input_file_name()).distinct().count() == d.select("slide_id").distinct().count()
