@@ -152,3 +152,16 @@ def test_nuclei_files_do_not_grow_in_number_with_the_slides(spark):
     assert d.count() == Views(spark, D).lineitem.count()
     # a slide lies in one file
     assert d.select("slide_id", F.input_file_name()).distinct().count() == d.select("slide_id").distinct().count()
+
+
+def test_thumbnail_needs_no_cell_ids_and_no_sort(spark):
+    from celltable.operators.tiling import cell_raster
+    d = spark.createDataFrame([("s", "c9", "A", 10.0, 10.0, 9.0), ("s", "c1", "B", 12.0, 9.0, 9.0), ("s", "c2", "Z", 12.0, 9.0, 9.0), ("s", "c3", "Z", 200.0, 9.0, 9.0),
+                               ("s", "c4", None, 100.0, 9.0, 9.0), ("s", "c5", "A", 64.0, 64.0, 3.2e4)],
+                              "slide_id string, cell_id string, cell_type string, x double, y double, nucleus_area double")
+    got = cell_raster(d, ["A", "B"], 256, 256)
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in text and "ObjectHashAggregate" not in text
+    # a radius of 3.15 pixels about (2, 2), over whose corner B wins
+    disc = {(y, x): "A" for y in range(8) for x in range(8) if (y - 2) ** 2 + (x - 2) ** 2 <= 3.2e4 / 3.141592653589793 / 1024}
+    assert {(r.ty, r.tx): r.cell_type for r in got.collect()} == disc | {(0, 0): "B"}
