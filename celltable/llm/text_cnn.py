@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from celltable.llm.sampling import balanced
-from celltable.llm.store import quoted, saved
+from celltable.llm.store import quoted, saved, spread
 from celltable.llm.words import byte_classes, lower_table, pieces, prefixes, split_words, text_bytes
 
 BUCKET_BITS, DIM, FILTERS, WIDTHS = 16, 8, 8, (1, 2, 3)
@@ -285,7 +285,7 @@ def calibrate(fitted: Fitted, scored: DataFrame, labels: DataFrame, learn_from:
         own.setdefault(n, []).append(x)
     # as many rows as the sample has, hence the same bound
     unseen = spark.createDataFrame([(n, sum(x) / len(x)) for n, x in own.items()], "_id string, _unseen double")
-    rows = scored.join(_usable(labels, learn_from), "doc_id").join(F.broadcast(unseen), F.col("doc_id").cast("string") == F.col("_id"), "left")
+    rows = scored.join(spread(_usable(labels, learn_from)), "doc_id").join(F.broadcast(unseen), F.col("doc_id").cast("string") == F.col("_id"), "left")
     hist = saved(rows.groupBy("lang", F.floor(F.coalesce("_unseen", "logit") * BINS).alias("bin")).agg(
         F.sum("toxic").cast("double").alias("bad"), F.sum(1 - F.col("toxic")).cast("double").alias("good")))
     common = hist.groupBy("bin").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).orderBy("bin").toPandas()

@@ -367,3 +367,25 @@ def test_sets_of_a_batch_are_made_in_bounded_memory():
     assert got["n_shingles"].to_pylist() == np.bincount(row, minlength=len(texts)).tolist() and got["n_shingles"].to_pylist()[-3:] == [0, 0, 1]
     assert np.array_equal((got["a"].to_numpy(), got["b"].to_numpy()), jaccard_join._set_prints(row, h, len(texts)))
     assert peak < 6 * len(data)  # once all words of a batch were held together
+
+
+def test_growing_tables_of_the_join_are_never_broadcast(spark, monkeypatch):
+    """Spark sizes these tables below its broadcast limit; a broadcast of one goes through the driver whole."""
+    import celltable.llm.components as components
+    import celltable.llm.jaccard_join as jaccard
+    from celltable.llm.store import saved
+
+    plans = []
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return saved(df)
+
+    monkeypatch.setattr(components, "saved", watched)
+    monkeypatch.setattr(jaccard, "saved", watched)
+    base = prose(5, 60, 10_000).split()
+    rows = [document(i, " ".join([*base[:k], f"x{i}", *base[k + 1:]])) for i, k in enumerate(range(0, 40, 2))] + [document(3, prose(6, 40)), document(99, prose(6, 40))]
+    out = jaccard.one_of_each(spark.createDataFrame(rows, SCHEMA), 80, 3)
+    plans.append(out._jdf.queryExecution().sparkPlan().toString())
+    assert out.count() >= 1 and len(plans) > 5
+    assert not [p for p in plans if "Broadcast" in p]
