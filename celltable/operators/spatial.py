@@ -2,13 +2,23 @@
 
 A point is replicated to the few neighbouring buckets within reach, never to a
 whole group, so the work follows the number of near pairs.  No side is
-broadcast by hand; a crowded bucket is left to AQE's skew-join split."""
+broadcast by hand; a crowded bucket is left to AQE's skew-join split.
+While every group is small (measured), its points move once, to one task, and the
+pairs are found there; they stay laid out by group, so what groups them by the
+same keys, or by more, moves no edge."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from celltable.operators.skew import stable, stored
+from celltable.operators.skew import has_hot_group, stable, stored
+
+# Points of a group that is handled inside one task, and of one call there.
+SMALL, CALL_POINTS = 2_000, 50_000
 
 # Half of the 3x3 neighbourhood: each unordered pair of buckets meets once.
 HALF = [(0, 0), (1, -1), (1, 0), (1, 1), (0, 1)]
@@ -38,13 +48,135 @@ def _reached(pairs: list[tuple[int, int]], radius: float, side: float) -> Column
                               for i, j in pairs]), lambda o: o.isNotNull())
 
 
+def _packed(nodes: DataFrame, keys: list[str], node: str, carry: tuple[str, ...], laid: bool) -> DataFrame:
+    """One row per group: its points as an array ``_p`` of (_a, x, y, carry), sorted by id."""
+    d = nodes.select(*keys, F.col(node).alias("_a"), "x", "y", *carry).na.drop(subset=[*keys, "_a", "x", "y"])
+    d = d if laid else d.repartition(*keys)
+    return d.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_a", "x", "y", *carry))).alias("_p"))
+
+
+def _by_group(find: Callable, shape: str):
+    """``find(group, x, y, code)`` -> group and columns of the rows found, for the groups of some ``CALL_POINTS`` points at
+    a time; equal codes are equal ids.  Rows come back as an array per group, places counted inside the group."""
+    names = [x.split(":")[0] for x in shape.split(",")]
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            xs, ys, again = (batch.field(i) for i in range(3))
+            off = xs.offsets.to_numpy().astype(np.int64)
+            x, y, same = (a.values.to_numpy(zero_copy_only=False) for a in (xs, ys, again))
+            base = off[0]
+            cuts = np.unique(np.append(np.searchsorted(off, np.arange(base, off[-1], CALL_POINTS)), len(off) - 1)) if off[-1] > base else np.array([0, len(off) - 1])
+            cuts = np.unique(np.append(0, cuts))
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                a, z = off[lo], off[hi]
+                group = np.repeat(np.arange(hi - lo), np.diff(off[lo:hi + 1]))
+                at, cols = find(group, x[a:z], y[a:z], np.cumsum(~same[a:z].astype(bool)))
+                first = (off[lo:hi] - a)[at]
+                cols = [c - first if c.dtype.kind == "i" else c for c in cols]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=hi - lo))]).astype(np.int32)
+                yield pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(c, pa.int32() if c.dtype.kind == "i" else pa.float64()) for c in cols], names))
+
+    found = F.arrow_udf(run, f"array<struct<{shape}>>")
+    again = F.transform("_p", lambda p, i: (i > 0) & (p["_a"] == F.get("_p", i - 1)["_a"]))
+    return found(F.struct(F.col("_p.x").cast("array<double>").alias("x"), F.col("_p.y").cast("array<double>").alias("y"), F.coalesce(again, F.array()).alias("again")))
+
+
+def near_pairs(group: np.ndarray, x: np.ndarray, y: np.ndarray, radius: float, closed: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, squared distance) of all pairs of points of one group within the radius, i < j, in bounded steps.
+
+    A grid of buckets as wide as the radius: a point meets the rest of its own bucket and half of those around it."""
+    ok = np.flatnonzero(np.isfinite(x) & np.isfinite(y))
+    if not len(ok):
+        return
+    group, x, y = group[ok], x[ok], y[ok]
+    side = float(radius) * (1 + 1e-9) + 1e-9
+    low_x, low_y = x.min(), y.min()
+    # wider buckets only if their numbers would not fit
+    while (float(x.max() - low_x) / side + 4) * (float(y.max() - low_y) / side + 4) * (int(group.max()) + 1) > 2**62:
+        side *= 2
+    bx, by = ((v - low) // side for v, low in ((x, low_x), (y, low_y)))
+    bx, by = bx.astype(np.int64), by.astype(np.int64)
+    tall = int(by.max()) + 3
+    key = (group * (int(bx.max()) + 3) + bx) * tall + by
+    order = np.argsort(key, kind="stable")
+    key, group, x, y, ok = key[order], group[order], x[order], y[order], ok[order]
+    here = np.arange(len(key))
+    for start, stop in ((here + 1, np.searchsorted(key, key + 1, "right")),
+                        (np.searchsorted(key, key + tall - 1, "left"), np.searchsorted(key, key + tall + 1, "right"))):
+        count = np.maximum(0, stop - start)
+        total = np.cumsum(count)
+        steps = np.unique(np.concatenate([[0], np.searchsorted(total, np.arange(1 << 21, total[-1], 1 << 21)), [len(key)]]))
+        for lo, hi in zip(steps[:-1], steps[1:], strict=True):
+            n = count[lo:hi]
+            a = np.repeat(here[lo:hi], n)
+            b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[lo:hi], n)
+            dx, dy = x[a] - x[b], y[a] - y[b]
+            d2 = dx * dx + dy * dy
+            near = (d2 <= float(radius) ** 2 if closed else d2 < float(radius) ** 2) & (group[a] == group[b])
+            p, q = ok[a[near]], ok[b[near]]
+            yield np.minimum(p, q), np.maximum(p, q), d2[near]
+
+
+def _pairs_of(radius: float, closed: bool) -> Callable:
+    def find(group, x, y, code):
+        parts = [(i[k], j[k], d2[k]) for i, j, d2 in near_pairs(group, x, y, radius, closed) for k in [code[i] != code[j]]]
+        i, j, d2 = (np.concatenate(c) for c in zip((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), *parts, strict=True))
+        order = np.argsort(group[i], kind="stable")
+        return group[i[order]], [i[order], j[order], d2[order]]
+    return find
+
+
+def _nearest_of(k: int) -> Callable:
+    """Distinct pairs (a, b) with their distance, of which one is among the k nearest of the other; ties by id."""
+    def find(group, x, y, code):
+        at, nb, dist = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(group))]) if len(group) else np.zeros(1, np.int64)
+        for a, z in zip(ends[:-1], ends[1:], strict=True):
+            step = max(1, 2_000_000 // max(1, z - a))
+            for s in range(a, z, step):
+                t = min(z, s + step)
+                dx, dy = x[s:t, None] - x[None, a:z], y[s:t, None] - y[None, a:z]
+                d = np.sqrt(dx * dx + dy * dy)
+                d[~np.isfinite(d) | (code[s:t, None] == code[None, a:z])] = np.inf
+                most = np.partition(d, k - 1, axis=1)[:, k - 1] if z - a >= k else np.full(t - s, np.inf)
+                i, j = np.nonzero((d <= most[:, None]) & (d < np.inf))
+                at.append(i + s)
+                nb.append(j + a)
+                dist.append(d[i, j])
+        at, nb, dist = np.concatenate(at), np.concatenate(nb), np.concatenate(dist)
+        # rows of one id are one point
+        order = np.lexsort((nb, dist, code[at]))
+        at, nb, dist = at[order], nb[order], dist[order]
+        own = code[at]
+        take = np.arange(len(own)) - np.searchsorted(own, own, "left") < k
+        at, nb, dist = at[take], nb[take], dist[take]
+        lead = np.searchsorted(code, code)  # the first row of an id stands for it
+        a, b = np.minimum(lead[at], lead[nb]), np.maximum(lead[at], lead[nb])
+        order = np.lexsort((dist, b, a))
+        a, b, dist = a[order], b[order], dist[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (dist[1:] != dist[:-1])
+        a, b, dist = a[new], b[new], dist[new]
+        return group[a], [a, b, dist]
+    return find
+
+
 def pairs_within(nodes: DataFrame, keys: list[str], node: str, radius: float, closed: bool = True,
-                 carry: tuple[str, ...] = ()) -> DataFrame:
+                 carry: tuple[str, ...] = (), laid: bool = False, small: int = 0) -> DataFrame:
     """Unordered pairs (src < dst) of one group at most ``radius`` apart, with ``dist``.
 
-    Buckets are a few radii wide and a point is copied only to those neighbouring buckets
+    While no group has more than ``small`` points (measured), each is handled in one task; ``laid`` says that the rows of
+    a group lie together already.  Otherwise
+    buckets are a few radii wide and a point is copied only to those neighbouring buckets
     whose border lies within the radius, so most points are sent once to either side.
     ``carry`` columns arrive as ``<c>_src`` and ``<c>_dst``."""
+    if small and keys and not has_hot_group(nodes, keys, small):
+        p = _packed(nodes, keys, node, carry, laid).withColumn("_e", _by_group(_pairs_of(radius, closed), "a:int,b:int,d2:double"))
+        p = p.select(*keys, "_p", F.inline("_e"))
+        end = {"src": F.get("_p", F.col("a")), "dst": F.get("_p", F.col("b"))}
+        return p.select(*keys, end["src"]["_a"].alias("src"), end["dst"]["_a"].alias("dst"), F.sqrt("d2").alias("dist"),
+                        *[end[e][c].alias(f"{c}_{e}") for e in ("src", "dst") for c in carry])
     side = float(radius) * BUCKET_RADII
     base = _bucketed(nodes.select(*keys, F.col(node).alias("_a"), "x", "y", *carry), side)
     offsets = _reached(HALF, radius, side)
@@ -72,19 +204,25 @@ def edge_weight(dist: Column, weighted: bool = True, clip: float = 1e-3) -> Colu
 
 
 def radius_edges(cells: DataFrame, keys: list[str] = ["slide_id", "patch_id"], radius: float = 40.0,
-                 weighted: bool = True, clip: float = 1e-3, node: str = "cell_id", carry: tuple[str, ...] = ()) -> DataFrame:
+                 weighted: bool = True, clip: float = 1e-3, node: str = "cell_id", carry: tuple[str, ...] = (),
+                 laid: bool = False, small: int = 0) -> DataFrame:
     """Neighbour edges of each group: keys, src, dst, dist, weight, and ``carry`` of both ends."""
-    return (pairs_within(cells, keys, node, radius, carry=carry)
+    return (pairs_within(cells, keys, node, radius, carry=carry, laid=laid, small=small)
             .withColumn("weight", edge_weight(F.col("dist"), weighted, clip)))
 
 
 def knn_edges(cells: DataFrame, keys: list[str] = ["slide_id", "patch_id"], k: int = 6, node: str = "cell_id",
-              start_radius: float = 64.0, weighted: bool = True, clip: float = 1e-3) -> DataFrame:
+              start_radius: float = 64.0, weighted: bool = True, clip: float = 1e-3, small: int = SMALL) -> DataFrame:
     """k nearest neighbours (ties by id), made undirected and distinct.
 
-    Each round looks within one radius; a point with k neighbours inside it, or
+    While no group has more than ``small`` points (measured), each is handled in one task.  Otherwise each round looks within one radius; a point with k neighbours inside it, or
     whose radius spans its whole group, is settled.  The rest go on with twice
     the radius, so no round compares all pairs of a large group."""
+    if small and keys and not has_hot_group(cells, keys, small):
+        p = _packed(cells, keys, node, (), False).withColumn("_e", _by_group(_nearest_of(k), "a:int,b:int,dist:double"))
+        p = p.select(*keys, "_p", F.inline("_e"))
+        e = p.select(*keys, F.get("_p", F.col("a"))["_a"].alias("src"), F.get("_p", F.col("b"))["_a"].alias("dst"), "dist")
+        return e.withColumn("weight", edge_weight(F.col("dist"), weighted, clip))
     pts = cells.select(*keys, F.col(node).alias("_id"), "x", "y")
     span = pts.groupBy(*keys).agg(F.hypot(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("_span"))
     todo, radius, done = pts.join(span, keys), float(start_radius), None

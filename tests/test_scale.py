@@ -165,3 +165,54 @@ def test_thumbnail_needs_no_cell_ids_and_no_sort(spark):
     # a radius of 3.15 pixels about (2, 2), over whose corner B wins
     disc = {(y, x): "A" for y in range(8) for x in range(8) if (y - 2) ** 2 + (x - 2) ** 2 <= 3.2e4 / 3.141592653589793 / 1024}
     assert {(r.ty, r.tx): r.cell_type for r in got.collect()} == disc | {(0, 0): "B"}
+
+
+def _lumps(spark, groups=7, n=60):
+    import random
+    r = random.Random(3)
+    rows = [(f"g{g}", f"{r.randrange(n):03d}" if g == 6 else f"{i:03d}", float(r.randrange(40)), float(r.randrange(40)))
+            for g in range(groups) for i in range(n)]
+    rows += [(None, "a", 1.0, 1.0), (None, "b", 1.0, 1.0), ("g1", None, 1.0, 1.0), ("g1", "z", None, 1.0), ("g2", "y", float("inf"), 1.0), ("one", "a", 0.0, 0.0)]
+    return spark.createDataFrame(rows, "g string, i string, x double, y double")
+
+
+def test_pairs_in_a_task_are_those_of_the_bucket_join(spark):
+    """Repeated ids, points at one spot, NULLs and infinities included; the points of a group move once."""
+    from celltable.operators.spatial import pairs_within
+    pts = _lumps(spark)
+    for radius, closed in ((5.0, True), (5.0, False), (0.5, True), (100.0, True)):
+        few, many = (pairs_within(pts, ["g"], "i", radius, closed, carry=("x",), small=n) for n in (2_000, 0))
+        assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) and few.count()
+    moved = few._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert moved.count("Exchange") == 1 and "Join" not in moved
+    of_group = few.groupBy("g", "src").count()._jdf.queryExecution().executedPlan().toString()
+    assert of_group.count("Exchange") == 1
+
+
+def test_nearest_in_a_task_are_those_of_the_rounds(spark):
+    from celltable.operators.spatial import knn_edges
+    pts = _lumps(spark)
+    for k in (1, 4, 70):
+        few, many = (knn_edges(pts.filter("x < 100 or x is null"), ["g"], k, "i", start_radius=9.0, small=n) for n in (2_000, 0))
+        assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) and few.count()
+    assert few._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange") == 1
+
+
+def test_near_pairs_are_found_in_bounded_buckets():
+    import numpy as np
+    from celltable.operators.spatial import near_pairs
+    r = np.random.default_rng(1)
+    group, x, y = np.repeat(np.arange(3), 50), r.uniform(-1e6, 1e6, 150).round(-5), r.uniform(-1e9, 1e9, 150).round(-8)
+    for radius in (1e-7, 2e5, 3e9):
+        got = {(int(i), int(j)) for a, b, _ in near_pairs(group, x, y, radius) for i, j in zip(a, b)}
+        assert got == {(i, j) for i in range(150) for j in range(i + 1, 150)
+                       if group[i] == group[j] and (x[i] - x[j]) ** 2 + (y[i] - y[j]) ** 2 <= radius**2}
+
+
+def test_typed_edges_and_their_sums_sit_behind_the_shuffle_by_slide(spark):
+    from celltable.operators import graph as G
+    from celltable.plans import q_graph as Q
+    from celltable.plans.views import Views
+    ends = Q.near(Q.typed_nodes(Views(spark, D)), carry=Q.ENDS, laid=True)
+    for d in (ends, G.edge_profile(ends), G.edge_profile(ends, ["slide_id"])):
+        assert plan(d).count("Exchange") == 1 and "Join" not in plan(d)
