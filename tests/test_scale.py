@@ -173,7 +173,7 @@ def _lumps(spark, groups=7, n=60):
     rows = [(f"g{g}", f"{r.randrange(n):03d}" if g == 6 else f"{i:03d}", float(r.randrange(40)), float(r.randrange(40)))
             for g in range(groups) for i in range(n)]
     rows += [(None, "a", 1.0, 1.0), (None, "b", 1.0, 1.0), ("g1", None, 1.0, 1.0), ("g1", "z", None, 1.0), ("g2", "y", float("inf"), 1.0), ("one", "a", 0.0, 0.0)]
-    return spark.createDataFrame(rows, "g string, i string, x double, y double")
+    return spark.createDataFrame(rows, "g string, i string, x double, y double").selectExpr("*", "concat(i, g) as w")
 
 
 def test_pairs_in_a_task_are_those_of_the_bucket_join(spark):
@@ -181,7 +181,7 @@ def test_pairs_in_a_task_are_those_of_the_bucket_join(spark):
     from celltable.operators.spatial import pairs_within
     pts = _lumps(spark)
     for radius, closed in ((5.0, True), (5.0, False), (0.5, True), (100.0, True)):
-        few, many = (pairs_within(pts, ["g"], "i", radius, closed, carry=("x",), small=n) for n in (2_000, 0))
+        few, many = (pairs_within(pts, ["g"], "i", radius, closed, carry=("w",), small=n) for n in (2_000, 0))
         assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) and few.count()
     moved = few._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert moved.count("Exchange") == 1 and "Join" not in moved
@@ -198,21 +198,26 @@ def test_nearest_in_a_task_are_those_of_the_rounds(spark):
     assert few._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange") == 1
 
 
-def test_near_pairs_are_found_in_bounded_buckets():
-    import numpy as np
-    from celltable.operators.spatial import near_pairs
-    r = np.random.default_rng(1)
-    group, x, y = np.repeat(np.arange(3), 50), r.uniform(-1e6, 1e6, 150).round(-5), r.uniform(-1e9, 1e9, 150).round(-8)
-    for radius in (1e-7, 2e5, 3e9):
-        got = {(int(i), int(j)) for a, b, _ in near_pairs(group, x, y, radius) for i, j in zip(a, b)}
-        assert got == {(i, j) for i in range(150) for j in range(i + 1, 150)
-                       if group[i] == group[j] and (x[i] - x[j]) ** 2 + (y[i] - y[j]) ** 2 <= radius**2}
-
-
 def test_typed_edges_and_their_sums_sit_behind_the_shuffle_by_slide(spark):
     from celltable.operators import graph as G
     from celltable.plans import q_graph as Q
     from celltable.plans.views import Views
     ends = Q.near(Q.typed_nodes(Views(spark, D)), carry=Q.ENDS, laid=True)
     for d in (ends, G.edge_profile(ends), G.edge_profile(ends, ["slide_id"])):
-        assert plan(d).count("Exchange") == 1 and "Join" not in plan(d)
+        text = d._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Exchange") == 1 and "Join" not in text
+
+
+def test_graph_operators_leave_laid_edges_where_they_lie(spark):
+    from celltable.operators import graph as G, graph_kernels as GK, spatial as S
+    pts = spark.sql("""select cast(id % 40 as string) as slide_id, 'p' as patch_id, cast(id as string) as cell_id,
+        cast(id * 37 % 101 as double) as x, cast(id * 53 % 97 as double) as y from range(1200)""")
+    keys = ["slide_id", "patch_id"]
+    far, e = S.radius_edges(pts, radius=15.0), S.radius_edges(pts, radius=15.0, small=2_000)
+    rows = lambda d: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in d.collect())
+    for f in (G.components, G.clustering, G.degree_stats):
+        assert rows(f(pts, e, laid=keys)) == rows(f(pts, far))
+    moved = G.clustering(pts, e, laid=keys).select("clustering_avg")._jdf.queryExecution().executedPlan().toString()
+    assert "src" not in "".join(line for line in moved.splitlines() if "Exchange" in line)
+    one = GK.path_features(pts, e, G.components(pts, e, laid=keys), laid=keys)
+    assert rows(one) == rows(GK.path_features(pts, far, G.components(pts, far)))
