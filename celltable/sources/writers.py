@@ -14,13 +14,14 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "err
     (w.option("header", True).csv(path) if fmt == "csv" else w.format(fmt).save(path))
 
 
-def write_edges(edges: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_edges(edges: DataFrame, path: str, mode: str = "errorifexists", laid: bool = False) -> None:
     """One folder per slide, with few files each; patches stay sorted inside its files.
 
     A folder per patch would leave millions of tiny files at scale, so ``patch_id``
     remains a column, clustered for row-group skipping.  The edges of a slide are brought together first: otherwise
-    every task writes a file into every folder."""
-    (edges.hint("rebalance", "slide_id").sortWithinPartitions("slide_id", "patch_id").write.mode(mode).partitionBy("slide_id").parquet(path))
+    every task writes a file into every folder; ``laid`` says that they are."""
+    edges = edges if laid else edges.hint("rebalance", "slide_id")
+    (edges.sortWithinPartitions("slide_id", "patch_id").write.mode(mode).partitionBy("slide_id").parquet(path))
 
 
 def dictionary_json(dictionary: DataFrame) -> str:
