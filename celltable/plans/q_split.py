@@ -41,7 +41,7 @@ def roc_auc_spread(v):
 @query("components_spread", "GRF-04 GRF-05", ORACLES["components"])
 def components_spread(v):
     n = q_graph.nodes(v)
-    return r6(G.component_stats(G.components(n, S.radius_edges(n), small=0)))
+    return r6(G.component_stats(G.components(n, q_graph.near(n), small=0)))
 
 
 _GAPS = """select nullif(event_type, 'click') as k, event_id, case when event_type = 'view' or event_id % 3 = 0 then null else value end as x from events"""
